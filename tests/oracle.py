@@ -9,6 +9,7 @@ import argparse
 import datetime as dt
 import decimal
 import math
+import threading
 import time
 
 import duckdb
@@ -17,6 +18,7 @@ from vereda import session
 from vereda.plans import catalog
 
 DATA = "/root/testdata"
+SQL_LIMIT = 60
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -59,7 +61,12 @@ def compare(spark, con, name: str, sf_dir: str):
     if name not in catalog.ORACLES:
         return len(rows) > 0, f"rows only: {len(rows)}", took, len(rows)
     t1 = time.time()
-    cur = con.execute(catalog.ORACLES[name])
+    timer = threading.Timer(SQL_LIMIT, con.interrupt)
+    timer.start()
+    try:
+        cur = con.execute(catalog.ORACLES[name])
+    finally:
+        timer.cancel()
     want_cols = [d[0] for d in cur.description]
     want = cur.fetchall()
     sql_took = time.time() - t1

@@ -71,21 +71,22 @@ def lookup_exact(requests: DataFrame, entries: DataFrame, ttl: int = TTL) -> Dat
             .groupBy(*requests.columns).agg(F.max("c").alias("created")))
 
 
-def fuzzy_pairs(requests: DataFrame, entries: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """Similar (request question, entry question) pairs, both distinct texts."""
-    def sets(df):
-        return (df.select(F.col("question").alias("id")).distinct()
-                .select("id", T.string_trigrams("id").alias("tokens")))
-
-    return setjoin.jaccard_join(sets(requests), sets(entries), threshold)
-
-
 def lookup_fuzzy(requests: DataFrame, entries: DataFrame, threshold: float = FUZZY, ttl: int = TTL) -> DataFrame:
     """First unexpired entry, in insertion order, similar to each request.
 
-    requests: id, question, sec. entries: question, created.
+    requests: id, question, sec. entries: question, created. An entry can only
+    serve requests of its own or the next time slice of length `ttl`, so texts
+    are compared inside slices, each distinct text once per slice.
     """
-    pairs = fuzzy_pairs(requests, entries, threshold)
+    def sets(df: DataFrame, slices: Column) -> DataFrame:
+        return (df.select(F.col("question").alias("id"), F.explode(slices).alias("block")).distinct()
+                .select("id", "block", T.string_trigrams("id").alias("tokens")))
+
+    def slice_of(c: str) -> Column:
+        return F.floor(F.col(c) / ttl)
+
+    pairs = setjoin.jaccard_join(sets(requests, F.array(slice_of("sec"), slice_of("sec") - 1)),
+                                 sets(entries, F.array(slice_of("created"))), threshold, blocked=True)
     # Pairs of distinct texts first: copies of a question fan out only here.
     req = requests.select(F.col("question").alias("left_id"), "id", "sec")
     ent = entries.select(F.col("question").alias("right_id"), "created")

@@ -1,10 +1,13 @@
-"""Exact similarity joins over token sets, without comparing all pairs.
+"""Similarity joins over token sets, without comparing all pairs.
 
 Two sets with Jaccard >= t must share a token within the first
 |A| - ceil(t|A|) + 1 tokens of each, under any one global token order. Ordering
 tokens from rare to common makes that prefix selective and keeps common tokens,
-which would form huge groups, out of the join. Candidates are verified on the
-full sets, so the result equals brute force.
+which would form huge groups, out of the join. The number of shared prefix
+tokens and the position of the last one then bound the total overlap, which
+drops nearly all remaining pairs before the full sets are read. Survivors are
+verified on the full sets, so the result equals brute force (tokens travel as
+64-bit fingerprints).
 """
 
 from __future__ import annotations
@@ -12,55 +15,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 
 # A token table up to this size is shipped to every task, otherwise shuffled.
 BROADCAST_TOKENS = 200_000
 
 
-def _ceil_share(t: float, n: Column) -> Column:
+def _ceil(x: Column) -> Column:
     # The small slack keeps a product such as 0.7 * 10 from rounding up to 8.
-    return F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int")
-
-
-def _ordered(sets: DataFrame, order: DataFrame) -> DataFrame:
-    """Token arrays sorted from rare to common."""
-    return (sets.select("id", F.explode("tokens").alias("token")).join(order, "token")
-            .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
-            .select("id", F.transform("s", lambda x: x["token"]).alias("sorted"),
-                    F.size("s").alias("size")))
+    return F.ceil(x - F.lit(1e-9)).cast("int")
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
-                 digits: int = 6) -> DataFrame:
+                 digits: int = 6, blocked: bool = False) -> DataFrame:
     """(left_id, right_id, sim) for pairs at or above (`strict`: above) the threshold.
 
     Both inputs hold one row per distinct set: `id`, `tokens` (array<string>).
+    With `blocked`, both also have `block`; only pairs sharing a block are
+    compared, and an id may appear under several blocks.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    freq = (left.select(F.explode("tokens").alias("token"))
-            .unionByName(right.select(F.explode("tokens").alias("token")))
-            .groupBy("token").agg(F.count("*").alias("n")))
+    same = left is right
+    keys = ["id", "block"] if blocked else ["id"]
+    exploded = [d.select(*keys, F.explode("tokens").alias("token")) for d in ([left] if same else [left, right])]
+    freq = exploded[0].select("token") if same else exploded[0].select("token").unionByName(exploded[1].select("token"))
+    freq = freq.groupBy("token").agg(F.count("*").alias("n"))
     if freq.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
         freq = F.broadcast(freq)
 
-    def prefixes(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        o = _ordered(sets, freq)
-        keep = F.col("size") - _ceil_share(threshold, F.col("size")) + 1
-        p = o.select(F.col("id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"),
-                     F.explode(F.slice("sorted", F.lit(1), keep)).alias("token"))
-        full = o.select(F.col("id").alias(f"{name}_id"), F.col("sorted").alias(f"{name}_set"))
-        return p, full
-
-    lp, lfull = prefixes(left, "left")
-    rp, rfull = prefixes(right, "right")
-    small, large = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
-    candidates = (lp.join(rp, "token").filter(small >= _ceil_share(threshold, large))
-                  .select("left_id", "right_id").distinct())
+    def encode(rows: DataFrame) -> DataFrame:
+        """Fingerprints sorted from rare to common. Read twice, so stored once."""
+        s = (rows.join(freq, "token").groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("token").alias("c")))).alias("s")))
+        return session.checkpoint(s.select(*keys, F.transform("s", lambda x: x["c"]).alias("codes"), F.size("s").alias("size")))
+
+    stored = [encode(e) for e in exploded]
+    le, re = stored[0], stored[-1]
+
+    def prefix(e: DataFrame, side: str) -> DataFrame:
+        keep = F.col("size") - _ceil(F.lit(threshold) * F.col("size")) + 1
+        return e.select(F.col("id").alias(f"{side}_id"), *(["block"] if blocked else []), F.col("size").alias(f"{side}_n"),
+                        F.posexplode(F.slice("codes", F.lit(1), keep)).alias(f"{side}_pos", "code"))
+
+    on = ["code", "block"] if blocked else ["code"]
+    small, large = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
+    met = prefix(le, "left").join(prefix(re, "right"), on).filter(small >= _ceil(F.lit(threshold) * large))
+    shared = met.groupBy("left_id", "right_id", "left_n", "right_n", *on[1:]).agg(
+        F.count("*").alias("c"), F.max("left_pos").alias("lp"), F.max("right_pos").alias("rp"))
+    most = F.col("c") + F.least(F.col("left_n") - 1 - F.col("lp"), F.col("right_n") - 1 - F.col("rp"))
+    need = _ceil(F.lit(threshold / (1 + threshold)) * (F.col("left_n") + F.col("right_n")))
+    pairs = shared.filter(most >= need).select("left_id", "right_id").distinct()
+
+    def full(e: DataFrame, side: str) -> DataFrame:
+        one = e.select("id", "codes").dropDuplicates(["id"]) if blocked else e
+        return one.select(F.col("id").alias(f"{side}_id"), F.col("codes").alias(f"{side}_set"))
+
     inter = F.size(F.array_intersect("left_set", "right_set"))
-    sim = inter / (F.size("left_set") + F.size("right_set") - inter)
-    checked = candidates.join(lfull, "left_id").join(rfull, "right_id").withColumn("raw", sim)
+    checked = (pairs.join(full(le, "left"), "left_id").join(full(re, "right"), "right_id")
+               .select("left_id", "right_id", inter.alias("i"), (F.size("left_set") + F.size("right_set")).alias("n"))
+               .withColumn("raw", F.col("i") / (F.col("n") - F.col("i"))))
     keep = F.col("raw") > threshold if strict else F.col("raw") >= threshold
     return checked.filter(keep).select("left_id", "right_id", F.round("raw", digits).alias("sim"))
 

@@ -107,21 +107,29 @@ def cache_evict(t):
     return respcache.evict(newest, now, limit=100)
 
 
-FUZZY_SQL = f"""{REQ_SQL},
-first AS (SELECT q, min(sec) AS created FROM req GROUP BY q),
-g AS (SELECT q, list_distinct(list_transform(range(1, length(q) + 3), lambda i: substr('  ' || q || '  ', i, 3))) AS gs FROM first),
-p AS (SELECT a.q AS rq, b.q AS eq, len(list_intersect(a.gs, b.gs)) AS i, len(a.gs) AS na, len(b.gs) AS nb FROM g a JOIN g b
-  ON least(len(a.gs), len(b.gs)) >= 0.81 * greatest(len(a.gs), len(b.gs))),
-s AS (SELECT rq, eq, i / (na + nb - i) AS sim FROM p),
-hit AS (SELECT r.id, f.created, f.q AS entry, round(sim, 6) AS sim, row_number() OVER (PARTITION BY r.id ORDER BY f.created, f.q) AS k
- FROM s JOIN req r ON r.q = s.rq JOIN first f ON f.q = s.eq WHERE sim >= 0.82 AND r.sec - f.created BETWEEN 0 AND 3600)"""
+KEY_SQL = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), "
+           "'[?!.,;]$', ''), '^\\s+|\\s+$', '', 'g')")
+GRAMS_SQL = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substr('  ' || {0} || '  ', i, 3)))"
+
+# Entries are the users' questions; requests repeat them a minute later without
+# their first word.
+FUZZY_SQL = f"""u AS (SELECT conv_id || '-' || turn AS id, conv_id * 30 + turn AS sec, text FROM conversations WHERE role = 'user'),
+ent AS (SELECT q, min(sec) AS created, {GRAMS_SQL.format('q')} AS gs FROM (SELECT {KEY_SQL.format('text')} AS q, sec FROM u) GROUP BY q),
+req AS (SELECT id, sec + 60 AS sec, q, {GRAMS_SQL.format('q')} AS gs FROM (SELECT id, sec, {KEY_SQL.format("regexp_replace(text, '^[^ ]* *', '')")} AS q FROM u)),
+s AS (SELECT r.id, e.created, e.q AS entry, len(list_intersect(r.gs, e.gs)) / len(list_distinct(list_concat(r.gs, e.gs))) AS sim
+  FROM req r JOIN ent e ON r.sec - e.created BETWEEN 0 AND 3600 AND least(len(r.gs), len(e.gs)) >= 0.8 * greatest(len(r.gs), len(e.gs))),
+hit AS (SELECT id, created, entry, round(sim, 6) AS sim, row_number() OVER (PARTITION BY id ORDER BY created, entry) AS k FROM s WHERE sim >= 0.82)"""
 
 
 @query("cache_fuzzy", f"WITH {FUZZY_SQL} SELECT id, created, sha256(entry) AS entry, sim FROM hit WHERE k = 1")
 def cache_fuzzy(t):
-    req = _requests(t)
-    entries = req.groupBy("question").agg(F.min("sec").alias("created"))
-    return respcache.lookup_fuzzy(req, entries).withColumn("entry", F.sha2("entry", 256))
+    asked = t.conversations.filter(F.col("role") == "user").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") * 30 + F.col("turn")).alias("sec"), "text")
+    entries = (asked.select(T.question_key("text").alias("question"), "sec").groupBy("question")
+               .agg(F.min("sec").alias("created")))
+    requests = asked.select("id", (F.col("sec") + 60).alias("sec"),
+                            T.question_key(F.regexp_replace("text", "^[^ ]* *", "")).alias("question"))
+    return respcache.lookup_fuzzy(requests, entries).withColumn("entry", F.sha2("entry", 256))
 
 
 @query("page_results", f"""WITH {PROTOTYPES_SQL}, {CORPUS_SQL},
