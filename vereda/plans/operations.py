@@ -141,7 +141,7 @@ def page_results(t):
 
 
 @query("paging_sessions", """
-WITH s AS (SELECT 's' || user_id AS session_id, max(epoch(ts))::BIGINT AS created FROM events GROUP BY 1), m AS (SELECT max(created) AS now FROM s)
+WITH s AS (SELECT 's' || user_id AS session_id, max(floor(epoch(ts)))::BIGINT AS created FROM events GROUP BY 1), m AS (SELECT max(created) AS now FROM s)
 SELECT session_id, created FROM s, m WHERE now - created <= 1800 * 40 ORDER BY created DESC, session_id LIMIT 255""")
 def paging_sessions(t):
     s = t.events.groupBy(F.concat(F.lit("s"), "user_id").alias("session_id")).agg(

@@ -17,3 +17,132 @@ def read_pages(pages: DataFrame, domains: tuple[str, ...]) -> DataFrame:
     """Readable text of pages on the allowed hosts, capped for display."""
     return pages.filter(H.allowed_host(F.col("url"), domains)).withColumn(
         "text", T.truncate(H.to_text("html", PAGE_NOISE), MAX_TOOL_CHARS))
+
+
+# --- SQL tool ---------------------------------------------------------------------
+
+
+def run_sql(spark, statement: str) -> tuple[DataFrame | None, str | None]:
+    """(rows, None) for one read-only statement, else (None, what was wrong).
+
+    The result is limited to MAX_ROWS. An unknown column is answered with the
+    most similar names of the tables the statement reads.
+    """
+    import re
+
+    from pyspark.errors import AnalysisException, ParseException
+
+    from ..functions import rules as R
+    checked = spark.createDataFrame([(statement,)], "s string").select(
+        R.guard_sql("s").alias("reason"), F.trim(F.regexp_replace("s", r";\s*$", "")).alias("s")).first()
+    if checked["reason"]:
+        return None, checked["reason"]
+    try:
+        return spark.sql(checked["s"]).limit(MAX_ROWS), None
+    except ParseException as exc:
+        return None, str(exc).splitlines()[0]
+    except AnalysisException as exc:
+        hint = ""
+        found = re.search(r"name `?([\w.`]+?)`? cannot be resolved", str(exc))
+        if found:
+            tables = [t.lower() for t in re.findall(r"\b(?:from|join)\s+([A-Za-z_]\w*)", checked["s"], re.I)]
+            names = suggest_columns(spark, found.group(1).replace("`", "").split(".")[-1], tables)
+            hint = " | " + ", ".join(names) if names else ""
+        return None, str(exc).splitlines()[0] + hint
+
+
+def suggest_columns(spark, column: str, tables: list[str], k: int = 4, above: float = 0.3) -> list[str]:
+    """Existing columns most similar to a wrong name."""
+    known = [(t, c.name) for t in sorted(set(tables)) if spark.catalog.tableExists(t) for c in spark.catalog.listColumns(t)]
+    if not known:
+        return []
+    sim = T.jaccard(T.word_trigrams("c"), T.word_trigrams(F.lit(column)))
+    rows = (spark.createDataFrame(known, "t string, c string").withColumn("sim", sim).filter(F.col("sim") > above)
+            .orderBy(F.col("sim").desc(), "t", "c").limit(k).collect())
+    return [f"{r['t']}.{r['c']}" for r in rows]
+
+
+def describe(spark, name: str) -> DataFrame:
+    """(column, type, rows) of a table or view; similar names when it is unknown."""
+    import re
+    name = re.sub(r"[^a-z0-9_]", "", (name or "").lower())
+    if spark.catalog.tableExists(name):
+        rows = spark.table(name).count()
+        return spark.createDataFrame([(c.name, c.dataType, rows) for c in spark.catalog.listColumns(name)],
+                                     "column string, type string, rows long")
+    similar = sorted(t.name for t in spark.catalog.listTables() if name[:12] in t.name)[:15]
+    return spark.createDataFrame([(s, "similar", None) for s in similar], "column string, type string, rows long")
+
+
+def view_lookup(spark, view: str, filters: dict[str, str], limit: int = 20) -> DataFrame:
+    """`view(col=value)` as a case-insensitive substring filter over its columns."""
+    df = spark.table(view)
+    cols = {c.lower(): c for c in df.columns}
+    for name, value in filters.items():
+        if name.lower() in cols:
+            df = df.filter(F.contains(F.lower(F.col(cols[name.lower()]).cast("string")), F.lit(str(value).lower())))
+    return df.limit(limit)
+
+
+def format_rows(df: DataFrame, max_cell: int = MAX_CELL, max_chars: int = MAX_TOOL_CHARS) -> str:
+    """A tool result as text: 'a | b' lines, cells and total cut."""
+    rows = df.limit(MAX_ROWS).collect()
+    if not rows:
+        return "0 linhas."
+
+    def cut(v, n):
+        s = "" if v is None else str(v)
+        return s if len(s) <= n else s[:n] + " [...]"
+
+    lines = [" | ".join(df.columns)] + [" | ".join(cut(v, max_cell) for v in r) for r in rows]
+    return cut(f"{len(rows)} linha(s):\n" + "\n".join(lines), max_chars)
+
+
+# --- semantic tool -----------------------------------------------------------------
+
+# Sources of facets and the corpus of each.
+SOURCES = {
+    "curso": "institucional", "disciplina": "institucional", "servidor": "institucional",
+    "projeto": "institucional", "turma": "institucional", "portal_noticia": "portal",
+    "portal_pagina": "portal", "portal_faq": "portal", "ppgc_pagina": "ppgc", "ppgc_noticia": "ppgc",
+    "ppgc_edital": "ppgc", "ppgc_normativo": "ppgc", "ppgc_faq": "ppgc", "ppgc_linha": "ppgc",
+    "ppgc_disciplina": "ppgc", "ppgc_documento": "ppgc"}
+SHOWN_METADATA = ("vinculo_ativo", "vigente", "nivel", "tipo", "ano", "cursos", "data_publicacao", "acervo")
+
+
+def resolve_sources(name: str) -> list[str]:
+    """Sources named by a corpus, a source, a facet table, or '' for all."""
+    f = (name or "").strip().lower()
+    if f in ("", "todas"):
+        return list(SOURCES)
+    if f in SOURCES.values():
+        return [s for s, corpus in SOURCES.items() if corpus == f]
+    return [s for s in SOURCES if f in (s, f"emb_{s}")]
+
+
+def semantic_search(facets: DataFrame, questions: DataFrame, source: str = "", top_k: int = 6) -> DataFrame:
+    """Best facets of the chosen sources: per source, then overall.
+
+    facets: id, source, key, scope, title, url, text, metadata (map), embedding.
+    """
+    from ..operators import nearest
+    k = max(1, min(int(top_k), 12))
+    chosen = facets.filter(F.col("source").isin(resolve_sources(source)))
+    found = nearest.branch_then_global(chosen, questions, k, "source")
+    meta = F.map_filter("metadata", lambda key, _: key.isin(*SHOWN_METADATA))
+    rows = chosen.select("id", "source", "key", "scope", "title", "url", meta.alias("metadata"),
+                         T.truncate(F.replace("text", F.lit("\n"), F.lit(" ")), 600).alias("text"))
+    return found.select("query_id", "id", "score", "rank").join(rows, "id")
+
+
+TOOLS = {f.__name__: f for f in (read_pages, run_sql, describe, view_lookup, semantic_search)}
+
+
+def tool_schema(fn) -> dict:
+    """Name, description and parameters of a tool, from its signature."""
+    import inspect
+    kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "dict[str, str]": "object"}
+    params = {n: {"type": kinds.get(str(p.annotation), "object")} for n, p in inspect.signature(fn).parameters.items()}
+    need = [n for n, p in inspect.signature(fn).parameters.items() if p.default is inspect.Parameter.empty]
+    return {"name": fn.__name__, "description": inspect.getdoc(fn) or "",
+            "parameters": {"type": "object", "properties": params, "required": need}}
