@@ -43,12 +43,12 @@ def vectors(token_lists, dims: int = DIMS) -> np.ndarray:
 
 def embed(df: DataFrame, text: str, dims: int = DIMS, key: str = "id") -> DataFrame:
     """`key` and `embedding` from the hashing embedder."""
-    src = df.select(key, T.tokens(F.col(text)).alias("toks"))
+    src = df.select(key, F.array_join(T.tokens(F.col(text)), " ").alias("toks"))
     schema = f"{key} {src.schema[key].dataType.simpleString()}, embedding array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "embedding": list(vectors(pdf["toks"].tolist(), dims))})
+            yield pd.DataFrame({key: pdf[key], "embedding": list(vectors([x.split(" ") if x else [] for x in pdf["toks"]], dims))})
 
     return src.mapInPandas(run, schema)
 

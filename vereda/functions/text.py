@@ -14,6 +14,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and use it several times in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # Latin letters whose canonical decomposition starts with one base letter.
 @lru_cache(maxsize=1)
 def _accent_tables() -> tuple[str, str, dict[str, str]]:
@@ -35,7 +40,8 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
 def unaccent(c) -> Column:
     """Drop diacritics, keep case."""
     src, dst, _ = _accent_tables()
-    return F.regexp_replace(F.translate(_col(c), src, dst), r"\p{Mn}", "")
+    return let(_col(c), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(
+        F.translate(t, src, dst), r"\p{Mn}", "")).otherwise(t))
 
 
 def normalize(c) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 
 # Fixed values.
 SIZE, OVERLAP, SECTION_OVERLAP = 500, 50, 20
@@ -31,11 +32,6 @@ SECTION_HEADERS = (
     "Data inicial - Data final:")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # --- word windows -----------------------------------------------------------------
 
 

@@ -57,7 +57,7 @@ def linear_hybrid(docs: DataFrame, questions: DataFrame, *, alpha: float = 0.5,
     stats, df = lexical.statistics(docs, tokenizer=T.tokens)
     weighted = (lexical.weigh(questions, df, stats, "text", T.tokens)
                 .join(qv, "query_id").join(hi, "query_id").join(lo, "query_id").join(top_lex, "query_id"))
-    payload = docs.select("id", T.tokens("text").alias("toks"))
+    payload = docs.select("id", F.array_join(T.tokens("text"), " ").alias("toks"))
 
     def prepare(q):
         return {"lex": lexical.term_matrix(q["terms"]), "vec": nearest._matrix(q["embedding"]),
@@ -65,6 +65,7 @@ def linear_hybrid(docs: DataFrame, questions: DataFrame, *, alpha: float = 0.5,
                 "max": np.where(q["lex_max"].to_numpy() == 0, 1.0, q["lex_max"].to_numpy())}
 
     def score(payload, p):
+        payload = [x.split(" ") if x else [] for x in payload]
         vecs = embed.vectors(payload, dims)
         sem = (nearest.score_block(vecs, p["vec"], "cosine") - p["lo"]) / (p["hi"] - p["lo"] + 1e-8)
         return alpha * sem + (1 - alpha) * lexical.score_tokens(payload, p["lex"], stats) / p["max"]

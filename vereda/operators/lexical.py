@@ -62,13 +62,14 @@ def search(docs: DataFrame, questions: DataFrame, k: int, *, text: str = "text",
 def _scored(docs, questions, k, text, tokenizer, digits, bound):
     stats, df = statistics(docs, text, tokenizer)
     weighted = weigh(questions, df, stats, text, tokenizer)
-    payload = docs.select("id", tokenizer(F.col(text)).alias("toks"))
+    # Tokens hold no blank: one string per text crosses to Python, not a list.
+    payload = docs.select("id", F.array_join(tokenizer(F.col(text)), " ").alias("toks"))
 
     def prepare(q: pd.DataFrame):
         return term_matrix(q["terms"])
 
     def score(payload: pd.Series, block) -> np.ndarray:
-        return score_tokens(payload, block, stats)
+        return score_tokens([x.split(" ") if x else [] for x in payload], block, stats)
 
     return nearest.run_scored(payload, "toks", weighted, prepare, score, k=k, ascending=False,
                               digits=digits, bound=bound)

@@ -37,8 +37,8 @@ def plan(asked: DataFrame, pending: DataFrame | None = None, entries: DataFrame
         q = q.join(hit, "query_id", "left")
     else:
         q = q.withColumn("cached", F.lit(None).cast("boolean"))
-    g = R.guard_input("text")
-    intent = R.intent("text")
+    q = q.withColumn("g", R.guard_input("text")).withColumn("i", R.intent("text"))
+    g, intent = F.col("g"), F.col("i")
     blocked = ~g["passed"] if guard else F.lit(False)
     route = (F.when(F.coalesce("has_list", F.lit(False)) & R.is_continuation("text"), "continuation")
              .when(F.coalesce("cached", F.lit(False)), "cache")

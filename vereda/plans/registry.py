@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import session
 
 
+# Tables of long texts, whose queries are bound by work per row.
+HEAVY = ("documents", "pages")
+
+
 class Tables:
     """Attribute access to the given tables of one data directory."""
 
@@ -18,7 +22,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in session.TABLES:
             raise AttributeError(name)
-        return session.table(self.spark, self.dir, name)
+        df = session.table(self.spark, self.dir, name)
+        return session.spread(df, self.spark) if name in HEAVY else df
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

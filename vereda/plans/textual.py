@@ -222,8 +222,9 @@ SELECT doc_id, {case_sql('n', R.NOTICE_TYPE, 'outro')} AS notice, {case_sql('n',
 
 @query("rule_classify", CLASSIFY_SQL)
 def rule_classify(t):
-    body = T.normalize(F.concat_ws(" ", "text", "source"))
-    return t.documents.select("doc_id", R.first_match(body, R.NOTICE_TYPE, "outro").alias("notice"),
+    docs = t.documents.withColumn("n", T.normalize(F.concat_ws(" ", "text", "source")))
+    body = F.col("n")
+    return docs.select("doc_id", R.first_match(body, R.NOTICE_TYPE, "outro").alias("notice"),
                               R.first_match(body, R.NOTICE_LEVEL).alias("level"),
                               R.post_subject(F.lit("Geral"), "text").alias("subject"))
 
@@ -340,9 +341,8 @@ SELECT doc_id, l IS NULL AND i IS NULL AND p IS NULL AND sc IS NULL AS passed,
  coalesce(l, i, p, sc, 'ok') AS reason,
  CASE WHEN l IS NOT NULL THEN 'low' WHEN i IS NOT NULL THEN 'high' WHEN p IS NOT NULL THEN 'medium' WHEN sc = 'off_topic' THEN 'medium' ELSE 'low' END AS severity FROM g""")
 def guard_chain(t):
-    g = R.guard_input("text")
-    return t.documents.select("doc_id", g["passed"].alias("passed"), g["check"].alias("check_name"),
-                              g["reason"].alias("reason"), g["severity"].alias("severity"))
+    return t.documents.select("doc_id", R.guard_input("text").alias("g")).select(
+        "doc_id", "g.passed", F.col("g.check").alias("check_name"), "g.reason", "g.severity")
 
 
 @query("guard_scope_questions", f"""

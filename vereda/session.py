@@ -50,6 +50,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df, spark: SparkSession | None = None):
+    """Split an input of fewer partitions than cores, for work that is heavy per row.
+
+    A large input already has many partitions and is returned as it is, so this
+    never shuffles big data.
+    """
+    cores = (spark or df.sparkSession).sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint(df, spark: SparkSession | None = None):
     """Cut lineage through the shared folder named by `spark.checkpoint.dir`.
 
