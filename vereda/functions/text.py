@@ -97,7 +97,7 @@ def unescape(c) -> Column:
         F.lit(1))
 
     def from_hex(digits: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32BE")
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
 
     def decode(x: Column) -> Column:
         dec = F.regexp_extract(x, r"^&#([0-9]+);$", 1)
