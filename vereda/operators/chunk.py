@@ -207,11 +207,14 @@ def overlap_prefix(chunks: Column, overlap: int = SECTION_OVERLAP) -> Column:
         aligned = F.when((space > 0) & (space < F.length(tail)), F.substr(tail, space + 1)).otherwise(tail)
         return T.strip(aligned)
 
-    def one(cur: Column, i: Column) -> Column:
-        tail = tail_of(F.get(chunks, i - 1))
-        return F.when((i == 0) | (tail == ""), cur).otherwise(F.concat(tail, F.lit("\n"), cur))
+    def prefixed(cs: Column) -> Column:
+        def one(cur: Column, i: Column) -> Column:
+            return let(tail_of(F.get(cs, i - 1)), lambda tail: F.when((i == 0) | (tail == ""), cur).otherwise(
+                F.concat(tail, F.lit("\n"), cur)))
 
-    return F.transform(chunks, one)
+        return F.transform(cs, one)
+
+    return let(chunks, prefixed)
 
 
 def section_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP,

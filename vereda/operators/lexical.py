@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 from . import nearest
 
@@ -33,19 +34,21 @@ class Stats:
 
 
 def statistics(docs: DataFrame, text: str = "text", tokenizer=T.words) -> tuple[Stats, DataFrame]:
-    """Corpus statistics and the (term, n) document-frequency table."""
+    """Corpus statistics and the (term, n) document-frequency table.
+
+    One pass: each document also counts under the empty term, which carries its
+    length, so the table holds the corpus totals too. It is stored because the
+    statistics and the question weights both read it.
+    """
     toks = docs.select(tokenizer(F.col(text)).alias("toks"))
-    size = toks.agg(F.count("*").alias("n"), F.sum(F.size("toks")).alias("len")).first()
-    n = size["n"]
-    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n"))
+    rows = toks.select(F.explode(F.array_append(F.array_distinct("toks"), F.lit(""))).alias("term"), F.size("toks").alias("len"))
+    table = session.checkpoint(rows.groupBy("term").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("len")))
+    total = table.filter(F.col("term") == "").first()
+    n = total["n"] if total else 0
+    df = table.filter(F.col("term") != "").select("term", "n")
     mean = df.agg(F.avg(F.log(F.lit(n) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
-    return Stats(n, (size["len"] or 0) / max(n, 1), EPSILON * (mean or 0.0)), df
-
-
-def idf(n_term: int, stats: Stats) -> float:
-    value = np.log(stats.n_docs - n_term + 0.5) - np.log(n_term + 0.5)
-    return float(value) if value >= 0 else stats.floor
+    return Stats(n, (total["len"] or 0) / n if n else 0.0, EPSILON * (mean or 0.0)), df
 
 
 def search(docs: DataFrame, questions: DataFrame, k: int, *, text: str = "text",
@@ -75,30 +78,32 @@ def _scored(docs, questions, k, text, tokenizer, digits, bound):
                               digits=digits, bound=bound)
 
 
-def term_matrix(term_lists) -> tuple[dict[str, int], np.ndarray]:
-    """Vocabulary and its terms x questions weights."""
+def term_matrix(term_lists) -> tuple[dict[str, int], list, list, int]:
+    """Vocabulary with, per term, the questions using it and their weights."""
     vocab: dict[str, int] = {}
-    cells = []
+    cols: list[list[int]] = []
+    vals: list[list[float]] = []
     for j, terms in enumerate(term_lists):
         for t in terms if terms is not None else ():
-            cells.append((vocab.setdefault(t["term"], len(vocab)), j, t["w"]))
-    weights = np.zeros((len(vocab), len(term_lists)))
-    for i, j, w in cells:
-        weights[i, j] = w
-    return vocab, weights
+            at = vocab.setdefault(t["term"], len(vocab))
+            if at == len(cols):
+                cols.append([])
+                vals.append([])
+            cols[at].append(j)
+            vals[at].append(t["w"])
+    return vocab, [np.array(c) for c in cols], [np.array(v) for v in vals], len(term_lists)
 
 
 def score_tokens(token_lists, block, stats: Stats) -> np.ndarray:
     """BM25 of each token list for each question of the block."""
-    vocab, weights = block
-    out = np.zeros((len(token_lists), weights.shape[1]))
+    vocab, cols, vals, n_questions = block
+    out = np.zeros((len(token_lists), n_questions))
     for row, toks in enumerate(token_lists):
         norm = K1 * (1 - B + B * len(toks) / stats.avg_len) if stats.avg_len else K1
         counts = Counter(vocab[t] for t in toks if t in vocab)
         if counts:
-            ix = np.fromiter(counts.keys(), dtype=np.int64)
-            f = np.fromiter(counts.values(), dtype=np.float64)
-            out[row] = (f * (K1 + 1) / (f + norm)) @ weights[ix]
+            parts = [vals[t] * (f * (K1 + 1) / (f + norm)) for t, f in counts.items()]
+            out[row] = np.bincount(np.concatenate([cols[t] for t in counts]), np.concatenate(parts), n_questions)
     return out
 
 

@@ -20,6 +20,8 @@ METRICS = ("cosine", "l2", "l1", "ip")
 # Questions shipped to every task, checked before use; above it, tiles are joined.
 BROADCAST_QUESTIONS = 2048
 TILE = 512
+# Corpus rows scored at a time: bounds the rows x questions matrix of a task.
+SCORED_ROWS = 2048
 DIGITS = 4
 
 
@@ -126,9 +128,10 @@ def run_scored(corpus: DataFrame, payload: str, questions: DataFrame, prepare, s
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             run = _Running(k, grouped, ascending, digits)
             for pdf in batches:
-                if len(pdf) and qids:
-                    out = run.add(qids, pdf["id"].to_numpy(), pdf["grp"].to_numpy() if grouped else None,
-                                  score(pdf["payload"], prepared))
+                for at in range(0, len(pdf) if qids else 0, SCORED_ROWS):
+                    part = pdf.iloc[at:at + SCORED_ROWS]
+                    out = run.add(qids, part["id"].to_numpy(), part["grp"].to_numpy() if grouped else None,
+                                  score(part["payload"], prepared))
                     if out is not None:
                         yield out
             out = run.flush()

@@ -30,6 +30,16 @@ def distinct_arrays(base: DataFrame, key: str, parts: Mapping[str, tuple[DataFra
     return out
 
 
+def left_many(base: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Left join where one key may match very many rows.
+
+    An inner join can be split on either side when a key is skewed, an outer
+    join cannot split its optional side; rows without a match are added apart.
+    """
+    alone = base.join(many.select(key).distinct(), key, "left_anti")
+    return base.join(many, key).unionByName(alone, allowMissingColumns=True)
+
+
 def ordered_text(df: DataFrame, keys: list[str], label: Column, order: Column, out: str, sep: str = ", ") -> DataFrame:
     """Distinct labels per key joined in order of first appearance."""
     firsts = df.groupBy(*keys, label.alias("__l")).agg(F.min(order).alias("__o"))
@@ -102,7 +112,7 @@ def projects_of_people(people: DataFrame, projects: DataFrame, members: DataFram
         "question", "project", "coordinator", "start")
 
     def ranked(df: DataFrame) -> DataFrame:
-        block = -(F.year("start") * 12 + F.month("start"))
+        block = -F.datediff("start", F.lit("1970-01-01"))
         return scan.numbered(df, ["question"], ["neg", "project"], "ord", block)
 
     led = ranked(led.withColumn("neg", -F.unix_micros(F.col("start").cast("timestamp")))).join(limits, "question").filter(

@@ -52,12 +52,12 @@ def mtbf(events: DataFrame) -> DataFrame:
 def outage_marks(events: DataFrame, block: Column | None = None) -> DataFrame:
     """Rows where an outage starts ('start') or ends ('end').
 
-    Requests of a component are scanned in blocks of one hour by default.
+    Requests of a component are scanned in blocks of one minute by default.
     """
     req = events.filter(F.col("event").isin("success", "failure")).select(
         "component", "ts", "event", "event_id")
     prev = scan.previous(req, ["component"], ["ts", "event_id"], F.col("event"), "before",
-                         block if block is not None else F.date_trunc("hour", "ts"))
+                         block if block is not None else F.date_trunc("minute", "ts"))
     mark = (F.when((F.col("event") == "failure") & (F.coalesce("before", F.lit("success")) == "success"), "start")
             .when((F.col("event") == "success") & (F.col("before") == "failure"), "end"))
     return prev.withColumn("mark", mark).filter(F.col("mark").isNotNull())

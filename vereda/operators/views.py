@@ -65,7 +65,7 @@ def vw_turma_completa(t: Tables) -> DataFrame:
     bridge = t["turma_curriculo"].select("turma_id", "curso_codigo", "versao", "semestre_rotulo", "semestre_num").distinct()
     rows = relate.distinct_arrays(_class_base(t), "turma_id", {
         "professores": (t["turma_professor"], "nome"), "professores_ids": (t["turma_professor"], "servidor_id")})
-    return (rows.join(bridge, "turma_id", "left").join(c, "curso_codigo", "left").select(
+    return (relate.left_many(rows, bridge, "turma_id").join(c, "curso_codigo", "left").select(
         "turma_id", "ano", "semestre", "codigo_turma", "vagas", "matriculados", "disciplina_codigo", "disciplina_nome",
         "curso_codigo", "curso_nome", "versao", "semestre_rotulo", "semestre_num", "professores", "professores_ids", "horarios"))
 
@@ -90,7 +90,7 @@ def vw_projeto_professor(t: Tables) -> DataFrame:
                             "unidade_origem", "data_inicio", "data_fim", "url")
     sp = t["servidor_projeto"].select("projeto_id", "servidor_id", "papel", "ch_semanal")
     s = t["servidor"].select("servidor_id", F.col("nome").alias("professor_nome"), F.col("lotacao_nome").alias("professor_lotacao"))
-    return p.join(sp, "projeto_id", "left").join(s, "servidor_id", "left")
+    return relate.left_many(p, sp, "projeto_id").join(s, "servidor_id", "left")
 
 
 def vw_matriz_versao(t: Tables) -> DataFrame:

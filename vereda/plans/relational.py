@@ -68,8 +68,8 @@ def view_class_grain(t):
 SELECT c.c_custkey, o.o_orderkey, n.n_name FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND o.o_orderstatus = 'F'""")
 def view_left_chain(t):
-    c = t.customer.select("c_custkey", "c_nationkey").join(
-        t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus"), "c_custkey", "left")
+    c = relate.left_many(t.customer.select("c_custkey", "c_nationkey"),
+                         t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus"), "c_custkey")
     n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
     return c.join(n, "c_nationkey", "left").select(
         "c_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("name")).alias("n_name"))
@@ -467,4 +467,4 @@ def faq_group(t):
 @query("renumber_rows", """
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordem FROM events""")
 def renumber_rows(t):
-    return scan.numbered(t.events, ["user_id"], ["ts", "event_id"], "ordem", F.date_trunc("day", "ts")).select("user_id", "event_id", "ordem")
+    return scan.numbered(t.events, ["user_id"], ["ts", "event_id"], "ordem", F.date_trunc("hour", "ts")).select("user_id", "event_id", "ordem")
