@@ -202,3 +202,23 @@ def test_sources_of_tool():
     assert len(tools.resolve_sources("")) == 16 and tools.resolve_sources("portal") == ["portal_noticia", "portal_pagina", "portal_faq"]
     assert tools.resolve_sources("nada") == [] and tools.tool_schema(tools.describe)["parameters"]["required"] == ["spark", "name"]
     assert session.TABLES
+
+
+def test_facets_of_entities(spark, tables):
+    from vereda.operators import facets
+    t = dict(tables)
+    t["ppgc_normativo"] = spark.createDataFrame([("n1", "resolucao", "01", 2019, "T", "Normas de bolsas", False, "x" * 2500, None, "p.pdf"),
+                                                 ("n2", "regimento", None, 2020, "Regimento do programa", None, None, None, "u", None)],
+                                                "normativo_id string, tipo string, numero string, ano int, titulo string, ementa string, vigente boolean, texto string, url_pagina string, url_pdf string")
+    t["disciplina_conteudo"] = t["disciplina_conteudo"].withColumn("secao", F.lit("Ementa"))
+    t["ppgc_edital"] = t["ppgc_edital"].withColumn("texto", F.lit("Texto do edital"))
+    t["ppgc_edital_documento"] = t["ppgc_edital_documento"].withColumn("titulo", F.lit("Edital 1")).withColumn("ordem", F.lit(1))
+    out = facets.build(t)
+    got = {(r["source"], r["key"], r["scope"]): r["text"] for r in out.collect()}
+    assert "Horários: SEG 08:00-09:40, QUA 10:00-11:40" in got[("turma", "T1", "oferta")]
+    assert "Ementa: camadas" in got[("disciplina", "22", "ficha")]
+    assert "Situação: REVOGADA" in got[("ppgc_normativo", "n1", "norma#0")] and ("ppgc_normativo", "n1", "norma#1") in got
+    assert "Identificação: Regimento 2020" in got[("ppgc_normativo", "n2", "norma")]
+    assert "Documentos anexos:\n  - Edital: Edital 1" in got[("ppgc_edital", "e1", "edital")]
+    v = spark.createDataFrame([("a", "9", False), ("a", "10", False), ("b", "3", True), ("b", "7", False)], "curso_codigo string, versao string, is_atual boolean")
+    assert {r[0]: r[1] for r in facets.current_version(v).collect()} == {"a": "10", "b": "3"}

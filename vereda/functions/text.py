@@ -90,11 +90,7 @@ def _entities() -> tuple:
 
 def unescape(c) -> Column:
     """Decode named and numeric character references."""
-    c = _col(c)
     named = F.create_map(*[F.lit(x) for kv in _entities() for x in kv])
-    pieces = F.regexp_extract_all(
-        c, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"),
-        F.lit(1))
 
     def from_hex(digits: Column) -> Column:
         return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
@@ -107,7 +103,12 @@ def unescape(c) -> Column:
                 .when(hexa != "", from_hex(hexa))
                 .otherwise(F.coalesce(F.try_element_at(named, x), x)))
 
-    return F.when(c.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(c)
+    def whole(t: Column) -> Column:
+        pieces = F.regexp_extract_all(
+            t, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"), F.lit(1))
+        return F.when(t.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(t)
+
+    return let(_col(c), whole)
 
 
 def tidy(c) -> Column:

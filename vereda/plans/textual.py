@@ -547,3 +547,22 @@ SELECT page_id, CASE WHEN length(x) > 4500 THEN left(x, 4500) || ' [...]' ELSE x
 def page_reader(t):
     from ..plans import tools
     return tools.read_pages(t.pages, ("example.com", "example.org")).select("page_id", "text")
+
+
+@query("page_menu", r"""
+WITH m AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS us,
+ regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS ts FROM pages),
+u AS (SELECT page_id, unnest(us) AS url, unnest(ts) AS t, generate_subscripts(us, 1) AS ordem FROM m)
+SELECT page_id, ordem, """ + TIDY_SQL.format(ENTITY_SQL.format("t")) + r""" AS title, url, 0 AS level FROM u""")
+def page_menu(t):
+    from ..operators import extract
+    from ..sources import elements
+    return extract.menu(elements.elements(t.pages)).select("page_id", "ordem", "title", "url", "level")
+
+
+@query("page_blocks", f"""
+SELECT page_id, count(*) AS paragraphs FROM (SELECT page_id, unnest(regexp_extract_all({_drop_sql('html', ('script', 'style', 'head'))}, '<p>')) AS p FROM pages) GROUP BY 1""")
+def page_blocks(t):
+    from ..sources import elements
+    els = elements.elements(t.pages)
+    return els.filter(F.col("tag") == "p").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
