@@ -89,7 +89,7 @@ def absolute(href: Column, base: Column) -> Column:
            .when(href.startswith("?"), F.concat(origin, path(base), href))
            .when(href == "", without_fragment(base))
            .otherwise(joined))
-    return F.when(path(out).rlike(r"/\.\.?(/|$)"), _without_dots(out)).otherwise(out)
+    return T.let(out, lambda u: F.when(path(u).rlike(r"/\.\.?(/|$)"), _without_dots(u)).otherwise(u))
 
 
 def _without_dots(u: Column) -> Column:

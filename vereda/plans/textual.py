@@ -557,7 +557,7 @@ SELECT page_id, ordem, """ + TIDY_SQL.format(ENTITY_SQL.format("t")) + r""" AS t
 def page_menu(t):
     from ..operators import extract
     from ..sources import elements
-    return extract.menu(elements.elements(t.pages)).select("page_id", "ordem", "title", "url", "level")
+    return extract.menu(elements.elements(t.pages, keep=True)).select("page_id", "ordem", "title", "url", "level")
 
 
 @query("page_blocks", f"""

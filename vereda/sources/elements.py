@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 
 SCHEMA = ("array<struct<pos:int,stop:int,parent:int,tbl:int,tag:string,cls:string,id:string,name:string,"
@@ -81,11 +82,15 @@ def flatten(html: str | None) -> list[dict]:
     return parser.finish()
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per element: `key`, pos, stop, parent, tbl, tag, cls, ... , text."""
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", keep: bool = False) -> DataFrame:
+    """One row per element: `key`, pos, stop, parent, tbl, tag, cls, ... , text.
+
+    `keep` stores the rows, for parsers that read them several times.
+    """
     @F.pandas_udf(SCHEMA)
     def run(docs: pd.Series) -> pd.Series:
         return docs.map(flatten)
 
     rows = pages.select(key, F.explode(run(F.col(html))).alias("e")).select(key, "e.*")
-    return rows.withColumn("text", T.tidy("text"))
+    rows = rows.withColumn("text", T.tidy("text"))
+    return session.checkpoint(rows) if keep else rows
