@@ -117,9 +117,10 @@ def name_lookup(questions: DataFrame, names: DataFrame, threshold: float, k: int
     questions and names: one row per distinct text, column `text`. With
     `with_substring` an unaccented substring match also qualifies.
     """
+    # The distinct texts are read several times and far smaller than their tables.
+    questions, names = session.checkpoint(questions), session.checkpoint(names)
     q = questions.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
     n = names.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
-    q, n = (d.filter(F.size("tokens") > 0) for d in (q, n))
     pairs = jaccard_join(q, n, threshold, strict=strict, digits=digits)
     if with_substring:
         hits = contains_join(
@@ -160,10 +161,11 @@ def entity_lookup(questions: DataFrame, catalog: DataFrame, threshold: float, k:
     above the threshold or by containing the question.
     """
     from pyspark.sql import Window
-    names = catalog.select("text").distinct()
+    questions, catalog = session.checkpoint(questions), session.checkpoint(catalog)
+    names = session.checkpoint(catalog.select("text").distinct())
     q = questions.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
     n = names.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
-    pairs = jaccard_join(q.filter(F.size("tokens") > 0), n.filter(F.size("tokens") > 0), threshold, strict=True)
+    pairs = jaccard_join(q, n, threshold, strict=True)
     hits = contains_join(questions.select(F.col("text").alias("id"), T.normalize("text").alias("text")),
                          names.select(F.col("text").alias("id"), T.normalize("text").alias("text")))
     extra = hits.join(pairs, ["left_id", "right_id"], "left_anti").select(
