@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, simhash
+from . import bpe, fingerprints, langid, mixing, sharding, simhash, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _documents(name: str, run: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(common.documents(spark, sf_dir))
+def _over(table: str, name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    if sql is not None:
+        ORACLES[name] = sql
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -23,5 +25,10 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-_documents("op5_bpe", lambda docs: bpe.digest(docs, *public_vocabulary()))
-_documents("op9_simhash", simhash.digest)
+_over("documents", "op1_langid", langid.digest)
+_over("documents", "op2_fingerprints", fingerprints.digest)
+_over("documents", "op3_mixing", mixing.digest, mixing.ORACLE)
+_over("documents", "op5_bpe", lambda docs: bpe.digest(docs, *public_vocabulary()))
+_over("pages", "op6_wrappers", wrappers.main_text)
+_over("documents", "op8_sharding", sharding.digest)
+_over("documents", "op9_simhash", simhash.digest)

@@ -14,10 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(WORD.encode("ascii"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`; a temporary one only in a single-process session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
