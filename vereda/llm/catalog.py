@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, mixing, sharding, simhash, wrappers
+from . import ann, bpe, fingerprints, langid, mixing, quality, sharding, simhash, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,5 +30,8 @@ _over("documents", "op2_fingerprints", fingerprints.digest)
 _over("documents", "op3_mixing", mixing.digest, mixing.ORACLE)
 _over("documents", "op5_bpe", lambda docs: bpe.digest(docs, *public_vocabulary()))
 _over("pages", "op6_wrappers", wrappers.main_text)
+QUERIES["op7_quality"] = lambda spark, sf_dir: quality.digest(
+    *(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", "labels")))
 _over("documents", "op8_sharding", sharding.digest)
 _over("documents", "op9_simhash", simhash.digest)
+_over("embeddings", "op10_ann", ann.digest)
