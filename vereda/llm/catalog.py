@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, langid, mixing, quality, sharding, simhash, wrappers
+from . import ann, bpe, fingerprints, langid, mixing, quality, sharding, simhash, substrings, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,7 @@ def public_vocabulary() -> tuple[str, str]:
 _over("documents", "op1_langid", langid.digest)
 _over("documents", "op2_fingerprints", fingerprints.digest)
 _over("documents", "op3_mixing", mixing.digest, mixing.ORACLE)
+_over("documents", "op4_substrings", substrings.digest)
 _over("documents", "op5_bpe", lambda docs: bpe.digest(docs, *public_vocabulary()))
 _over("pages", "op6_wrappers", wrappers.main_text)
 QUERIES["op7_quality"] = lambda spark, sf_dir: quality.digest(
