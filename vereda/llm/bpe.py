@@ -204,3 +204,20 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+
+
+def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of each text, for training; each encoding is decoded again and must match."""
+    shared = _vocabulary(docs, path)
+
+    def run(texts: pd.Series) -> pd.Series:
+        codec, out = _codec(shared.value, pattern), []
+        for t in texts:
+            ids = codec.encode(t) if isinstance(t, str) else []
+            if codec.decode(ids) != (t if isinstance(t, str) else "").encode("utf-8", "surrogatepass"):
+                raise ValueError("a text did not survive encoding")
+            out.append(ids)
+        return pd.Series(out)
+
+    rows = docs.select("doc_id", "source", F.pandas_udf(run, "array<int>")(F.col("text")).alias("ids"))
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, Scratch
+from .common import WORD_BYTES, Scratch, text_class
 
 RADIUS = 2
 SHINGLE = 3
 #: Fingerprints in a tile. A tile pair holds a matrix of 256 rows by this many columns at a time.
 TILE = 2048
+#: Near copies for `representatives`: similarity of five-word shingles, bits between fingerprints, values of a sketch.
+SIMILARITY, WIDE, WIDE_TILE, SKETCH = 0.8, 9, 8192, 128
 _SLICE = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -77,51 +79,84 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _links(fp: np.ndarray, pop: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one tile pair within the radius. side: which tile; None where a block is one tile."""
-    left = np.arange(len(fp)) if side is None else np.flatnonzero(side == 0)
-    right = left if side is None or not (side == 1).any() else np.flatnonzero(side == 1)
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated resemblance of sketches, row by row: the share of common values among the least of their union.
+
+    A sketch is a row of ascending distinct values, filled up with the largest one.
+    """
+    k, full = a.shape[1], np.iinfo(a.dtype).max
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = both[:, 1:] == both[:, :-1]
+    real = both != full
+    rank = np.cumsum(~twice & real, axis=1)
+    among = real & (rank <= k)
+    return (twice & among).sum(1) / np.maximum(np.minimum(rank[:, -1], k), 1)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int, sketches: np.ndarray | None, least: float) -> np.ndarray:
+    """_forest over the pairs, or over those whose sketches are alike; pairs already connected are not looked at."""
+    if sketches is None:
+        return _forest(i, j, n)
+    label, good_i, good_j = np.arange(n), np.zeros(0, int), np.zeros(0, int)
+    while len(i):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        _, now = np.unique(i, return_index=True)
+        alike = np.concatenate([_common(sketches[i[x]], sketches[j[x]]) >= least for x in np.array_split(now, len(now) // 4096 + 1)])
+        good_i, good_j = np.r_[good_i, i[now[alike]]], np.r_[good_j, j[now[alike]]]
+        label = _forest(good_i, good_j, n)
+        i, j = np.delete(i, now), np.delete(j, now)
+    return label
+
+
+def _pairs(fp: np.ndarray, pop: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius between two lists that rise in population count; tiles of other counts are skipped."""
     heads, tails = [], []
     for at in range(0, len(left), 256):
         rows = left[at:at + 256]
-        near = np.bitwise_count(fp[rows][:, None] ^ fp[right][None, :]) <= radius
-        i, j = np.nonzero(near)
-        i, j = rows[i], right[j]
+        lo = np.searchsorted(pop[right], pop[rows[0]] - radius, "left")
+        hi = np.searchsorted(pop[right], pop[rows[-1]] + radius, "right")
+        cols = right[lo:hi]
+        i, j = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[cols][None, :]) <= radius)
+        i, j = rows[i], cols[j]
         keep = i < j if right is left else slice(None)
         heads.append(i[keep])
         tails.append(j[keep])
-    return np.concatenate(heads), np.concatenate(tails)
+    return np.concatenate([*heads, np.zeros(0, int)]), np.concatenate([*tails, np.zeros(0, int)])
 
 
-def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
     """Links among rows sorted by tile pair; a tile pair that a batch cuts is carried into the next."""
     rest: pd.DataFrame | None = None
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         key = part[["seg", "lo", "hi"]].to_numpy()
-        fp, side = part["fp"].to_numpy().view(np.uint64), part["side"].to_numpy()
+        node, fp, side = part["node"].to_numpy(), part["fp"].to_numpy().view(np.uint64), part["side"].to_numpy()
         pop = np.bitwise_count(fp).astype(np.int16)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(fp)])
         group = np.repeat(np.arange(len(starts)), sizes)
-        heads, tails = [], []
+        sketches = np.frombuffer(b"".join(part["sketch"]), np.uint32).reshape(len(part), -1) if least > 0 else None
+        heads, tails = [np.zeros(0, int)], [np.zeros(0, int)]
         # Small tile pairs together: each row against the one d places on.
         small = sizes <= 32
         for d in range(1, int(sizes[small].max(initial=1))):
             i = np.flatnonzero((group[d:] == group[:-d]) & small[group[:-d]])
             i = i[(np.abs(pop[i] - pop[i + d]) <= radius) & (np.bitwise_count(fp[i] ^ fp[i + d]) <= radius)]
+            if sketches is not None and len(i):
+                i = i[_common(sketches[i], sketches[i + d]) >= least]
             heads.append(i)
             tails.append(i + d)
         for g in np.flatnonzero(~small):
             s = slice(starts[g], starts[g] + sizes[g])
-            whole = key[starts[g], 1] < 0
-            i, j = _links(fp[s], pop[s], None if whole else side[s], radius)
-            label = _forest(i, j, sizes[g])
+            left, right = np.flatnonzero(side[s] == 0), np.flatnonzero(side[s] == 1)
+            i, j = _pairs(fp[s], pop[s], left, right if len(right) or key[starts[g], 1] != key[starts[g], 2] else left, radius)
+            label = _spanning(i, j, int(sizes[g]), None if sketches is None else sketches[s], least)
             at = np.flatnonzero(label != np.arange(sizes[g]))
             heads.append(starts[g] + label[at])
             tails.append(starts[g] + at)
-        a, b = np.concatenate([*heads, np.array([], int)]), np.concatenate([*tails, np.array([], int)])
-        a, b = fp[a].view(np.int64), fp[b].view(np.int64)
+        a, b = node[np.concatenate(heads)], node[np.concatenate(tails)]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     for batch in batches:
@@ -138,30 +173,37 @@ def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFr
         yield links(rest)
 
 
-def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) with a < b: links among distinct fingerprints (column fp) that connect what the radius connects."""
+def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, least: float = 0.0) -> DataFrame:
+    """(a, b) with a < b: links among nodes (node, fp; sketch if least > 0) that connect what the radius connects.
+
+    least: the resemblance that the sketches of a link must have besides.
+    """
     n = radius + 1
     width = [64 // n + (i < 64 % n) for i in range(n)]
     segments = []
     for i, w in enumerate(width):
         value = F.shiftrightunsigned("fp", 64 - sum(width[:i + 1])).bitwiseAND(F.lit((1 << w) - 1))
         segments.append(F.struct(F.lit(i).alias("no"), value.alias("value")))
-    spread = prints.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*segments)).alias("s"))
-    spread = spread.select("fp", "pop", (F.col("s.value") * n + F.col("s.no")).alias("seg"))
+    pop, payload = F.bit_count("fp").cast("int"), ["node", "fp", "pop", *(["sketch"] if least > 0 else [])]
+    spread = nodes.withColumn("pop", pop).select(*payload, F.explode(F.array(*segments)).alias("s"))
+    spread = spread.select(*payload, (F.col("s.value") * n + F.col("s.no")).alias("seg"))
     # Stored, so that the join below reads two plain exchanges, whose large partitions Spark can split.
     sizes = scratch.put("sizes", spread.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     laid = spread.join(sizes.select("seg", parts.alias("parts")), "seg")
-    small = laid.filter("parts = 1").select("fp", "seg", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
-    # A tile: one population count, one of `parts` shares of it. It meets itself and each tile of a count up to radius more.
-    own = F.col("pop") * F.col("parts") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    low = F.greatest(F.lit(0), F.col("pop") - radius) * F.col("parts")
-    high = (F.least(F.lit(64), F.col("pop") + radius) + 1) * F.col("parts") - 1
+    zero = F.lit(0)
+    small = laid.filter("parts = 1").select(*payload, "seg", zero.alias("lo"), zero.alias("hi"), zero.alias("side"))
+    # A tile: a band of population counts as wide as the radius, one of `parts` shares of it. Bands further apart than the
+    # next hold no links; a tile meets those of its own band and of the next.
+    band = F.floor(F.col("pop") / n).cast("int")
+    own = band * F.col("parts") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    low, high = F.greatest(zero, band - 1) * F.col("parts"), (F.least(F.lit(64 // n), band + 1) + 1) * F.col("parts") - 1
     met = laid.filter("parts > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(low, high)))
-    large = met.select("fp", "seg", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+    large = met.select(*payload, "seg", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                        (F.col("own") > F.col("other")).cast("int").alias("side"))
-    pairs = small.unionByName(large).repartition("seg", "lo", "hi").sortWithinPartitions("seg", "lo", "hi", "side")
-    return pairs.mapInPandas(lambda it: _compare(it, radius), "a long, b long").distinct()
+    keys = ["seg", "lo", "hi"]
+    pairs = small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys, "side", "pop")
+    return pairs.drop("pop").mapInPandas(lambda it: _compare(it, radius, least), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
@@ -203,7 +245,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put("prints", fingerprints(docs, size))
     known = scratch.put("known", prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(known.select("fp"), scratch, radius, tile), scratch)
+    roots = components(links(known.select(F.col("fp").alias("node"), "fp"), scratch, radius, tile), scratch)
     named = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = scratch.put("named", named)
     least = scratch.put("least", named.groupBy("root").agg(F.min("first_id").alias("component_id")))
@@ -215,3 +257,70 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
 def digest(docs: DataFrame) -> DataFrame:
     """The result of query op9_simhash."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, class, fp (of two-word shingles), sketch (the SKETCH least hashes of five-word shingles)."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+
+    def hashes(names: np.ndarray, size: int) -> np.ndarray:
+        n = max(1, len(names) - size + 1)
+        out = np.zeros(n, np.uint64)
+        for k in range(min(size, len(names))):
+            out = out * base + names[k:k + n]
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+        return out ^ (out >> np.uint64(33))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        known: dict[bytes, int] = {}
+        for b in batches:
+            prints, sketches = [], []
+            for text in b["text"]:
+                found = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+                if len(known) > 1_000_000:
+                    known.clear()
+                for w in set(found).difference(known):
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+                names = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+                two, ones = hashes(names, 2), np.zeros(64, np.int64)
+                for at in range(0, len(two), _SLICE):
+                    bits = two[at:at + _SLICE].view(np.uint8).reshape(-1, 8)
+                    ones += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
+                prints.append(int(np.packbits(ones * 2 > len(two), bitorder="little").view(np.int64)[0]))
+                least = np.unique((hashes(names, 5) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+                sketches.append(np.pad(least, (0, SKETCH - len(least)), constant_values=np.iinfo(np.uint32).max).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "class": b["class"], "fp": prints, "sketch": sketches})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class("text").alias("class"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.filter("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, class binary, fp long, sketch binary")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
+    """One document of each group of near copies, that of the least id, with the columns of docs.
+
+    Near copies share at least `similarity` of their five-word shingles. Their fingerprints differ in few bits, so the
+    tiled comparison with a wide radius first finds the fingerprints that have any neighbour, and then, among these few,
+    the pairs whose sketches agree as well. Equal texts are one node throughout.
+
+    Of rows that repeat the least id one stays. Rows without an id are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    nodes = described(docs).groupBy("class").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = scratch.put("nodes", nodes.drop("class"))
+    prints = scratch.put("prints", nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    met = links(prints.select(F.col("fp").alias("node"), "fp"), scratch, radius, WIDE_TILE)
+    met = met.select(F.explode(F.array("a", "b")).alias("fp")).union(prints.filter("n > 1").select("fp")).distinct()
+    close = scratch.put("close", nodes.join(scratch.put("met", met), "fp"))
+    roots = components(links(close, scratch, radius, TILE, similarity), scratch)
+    firsts = roots.groupBy("root").agg(F.min("node").alias("first"))
+    later = roots.join(firsts, "root").filter("node <> first").select("node")
+    kept = scratch.put("kept", nodes.select("node").distinct().join(scratch.put("later", later), "node", "left_anti"))
+    scratch.drop("nodes", "prints", "close", "met", "later")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    found = rows.join(kept, F.col("_id") == F.col("node"))
+    if not rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("_id IS NOT NULL AND n > 1").isEmpty():
+        found = found.dropDuplicates(["_id"])
+    return found.select("_row").unionByName(rows.filter("_id IS NULL").select("_row")).select("_row.*")

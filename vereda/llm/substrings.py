@@ -270,7 +270,7 @@ def _result(name: bytes, rep: int, words: list[bytes], gone: np.ndarray | None,
             "kept_sha256": hashlib.sha256(text).hexdigest(), "kept": text.decode("utf-8", "surrogatepass") if with_text and n else None}
 
 
-def _answer(count: int, ask: DataFrame, run) -> DataFrame:
+def _answer(ask: DataFrame, run) -> DataFrame:
     """uid, answers: the bits of each batch's questions, by bucket."""
     told = ask.groupBy("bucket").applyInPandas(run, "uid string, bucket int, bits binary")
     return told.groupBy("uid").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
@@ -317,7 +317,7 @@ def classes(docs: DataFrame, scratch: Scratch, with_text: bool = False) -> DataF
                 low = keys.astype(np.uint32)
                 yield _rows(_ASK, [{"uid": row["uid"], "bucket": n, "a": low[a:z].tobytes()} for n, a, z in _split(keys, buckets)])
 
-    told = _answer(buckets, stored.mapInArrow(ask, _ASK), _shared)
+    told = _answer(stored.mapInArrow(ask, _ASK), _shared)
     told = scratch.put("shared", told)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,7 @@ def classes(docs: DataFrame, scratch: Scratch, with_text: bool = False) -> DataF
 
     parts = scratch.put("parts", stored.join(told, "uid", "left").mapInArrow(verify, _PART))
     scratch.drop("batches", "shared")
-    earlier = scratch.put("earlier", _answer(buckets, parts.filter("kind = 'ask'").select("uid", "bucket", "a", "b", "c"), _earlier))
+    earlier = scratch.put("earlier", _answer(parts.filter("kind = 'ask'").select("uid", "bucket", "a", "b", "c"), _earlier))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -386,18 +386,6 @@ def classes(docs: DataFrame, scratch: Scratch, with_text: bool = False) -> DataF
     return out
 
 
-def _placed(docs: DataFrame, scratch: Scratch, with_text: bool) -> DataFrame:
-    """row, and what became of it: n_words, n_removed, kept_sha256, kept."""
-    found = classes(docs, scratch, with_text)
-    rows = docs.withColumn("_class", text_class("text")).join(found.withColumnRenamed("class", "_class"), "_class")
-    copy = F.col("rep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("rep"))) & (F.col("n_words") >= WINDOW)
-    return rows.select(
-        *[F.col(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept")], "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """The result of query op4_substrings."""
     scratch = Scratch(docs.sparkSession, "substrings")
@@ -407,3 +395,17 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with the remaining words as text where words were removed; n_chars, if there is one, follows."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    found = classes(docs, scratch, with_text=True).select(F.struct("*").alias("_found"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), text_class("text").alias("_class"))
+    rows = rows.join(found, F.col("_class") == F.col("_found.class"))
+    rep, doc_id = F.col("_found.rep"), F.col("_row.doc_id")
+    copy = rep.isNotNull() & (doc_id.isNull() | (doc_id > rep)) & (F.col("_found.n_words") >= WINDOW)
+    text = F.when(copy, F.lit("")).otherwise(F.coalesce("_found.kept", "_row.text"))
+    out = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+           else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*out)
