@@ -55,10 +55,10 @@ def embed(df: DataFrame, text: str, dims: int = DIMS, key: str = "id") -> DataFr
 
 def embed_with(df: DataFrame, text: str, model: Embedder, key: str = "id", batch: int = BATCH,
                retries: int = 3, pause: float = 0.0) -> DataFrame:
-    """Embed with a model in batches; a batch that keeps failing is left out."""
+    """Embed with a model in batches. The rows of a batch that keeps failing have a NULL vector and the error."""
     import time
     src = df.select(key, F.col(text).alias("text"))
-    schema = f"{key} {src.schema[key].dataType.simpleString()}, embedding array<double>"
+    schema = f"{key} {src.schema[key].dataType.simpleString()}, embedding array<double>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -67,11 +67,14 @@ def embed_with(df: DataFrame, text: str, model: Embedder, key: str = "id", batch
                 for attempt in range(retries):
                     try:
                         vecs = model.embed_documents(part["text"].tolist())
-                    except Exception:
+                    except Exception as exc:  # any failure of the model is reported with the row
+                        failed = f"{type(exc).__name__}: {exc}"
                         time.sleep(pause * 2 ** attempt)
                         continue
-                    yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in vecs]})
+                    yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in vecs], "error": None})
                     break
+                else:
+                    yield pd.DataFrame({key: part[key].to_numpy(), "embedding": None, "error": failed})
 
     return src.mapInPandas(run, schema)
 

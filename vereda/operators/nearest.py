@@ -203,6 +203,8 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "cosin
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     ascending = metric != "cosine"
+    # Rows without a vector have no distance and are no candidates.
+    corpus, questions = corpus.filter(F.col(vector).isNotNull()), questions.filter(F.col(vector).isNotNull())
     scored = run_scored(
         corpus, vector, questions.select("query_id", F.col(vector).alias("qvec")),
         prepare=lambda q: _matrix(q["qvec"]),
@@ -234,8 +236,9 @@ def similarity_matrix(left: DataFrame, right: DataFrame, vector: str = "embeddin
     """Every similarity between two sets, as (query_id, id, score).
 
     The output is the product of both sides, so this is for small sets such as
-    one prototype per source; use `search` for corpora.
+    one prototype per source; use `search` for corpora. Rows without a vector are left out.
     """
+    left, right = left.filter(F.col(vector).isNotNull()), right.filter(F.col(vector).isNotNull())
     return run_scored(
         left, vector, right.select("query_id", F.col(vector).alias("qvec")),
         prepare=lambda q: _matrix(q["qvec"]),

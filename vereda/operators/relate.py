@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,36 +48,35 @@ def ordered_text(df: DataFrame, keys: list[str], label: Column, order: Column, o
         F.array_sort(F.collect_list(F.struct("__o", "__l"))), lambda s: s["__l"]), sep).alias(out))
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows per key; Spark limits each group before the shuffle."""
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """First n rows per key, all if n is None; Spark limits each group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= n)
+    ranked = df.withColumn("ord", F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col("ord") <= n)
 
 
-def tree_paths(edges: DataFrame, *, item: str, parent: str, title: str, sep: str = " › ",
-               max_depth: int = 64) -> DataFrame:
+def tree_paths(edges: DataFrame, *, item: str, parent: str, title: str, sep: str = " › ") -> DataFrame:
     """Every item reachable from a root (NULL parent) with its title path and level.
 
     Levels are joined one at a time; each new level is checkpointed, so the
-    plan stays short and a lost executor does not replay the whole walk.
+    plan stays short and a lost executor does not replay the whole walk. The walk
+    ends with the first empty level: an item has one parent, so a cycle has no root.
     """
     e = edges.select(F.col(item).alias("item"), F.col(parent).alias("parent"), F.col(title).alias("title"))
     level = e.filter(F.col("parent").isNull()).select("item", F.col("title").alias("path"), F.lit(0).alias("level"))
     levels = [level]
     children = e.filter(F.col("parent").isNotNull())
-    for depth in range(1, max_depth):
+    for depth in count(1):
         above = levels[-1].select(F.col("item").alias("parent"), F.col("path").alias("above"))
         nxt = session.checkpoint(children.join(above, "parent").select(
             "item", F.concat("above", F.lit(sep), "title").alias("path"), F.lit(depth).alias("level")))
         if nxt.isEmpty():
             break
         levels.append(nxt)
-    else:
-        raise ValueError("tree deeper than max_depth, or it has a cycle")
     return reduce(DataFrame.unionByName, levels)
 
 
-def ancestor_paths(pages: DataFrame, *, item: str, parent: str, slug: str, sep: str = "/", max_depth: int = 64) -> DataFrame:
+def ancestor_paths(pages: DataFrame, *, item: str, parent: str, slug: str, sep: str = "/") -> DataFrame:
     """Slug path from the top ancestor down to each page.
 
     The walk of a page stops at a missing parent or at a page already visited.
@@ -85,7 +85,7 @@ def ancestor_paths(pages: DataFrame, *, item: str, parent: str, slug: str, sep:
     state = pages.select(F.col(item).alias("item"), F.col(slug).alias("path"), F.col(parent).alias("up"),
                          F.array(F.col(item)).alias("seen"))
     done = []
-    for _ in range(max_depth):
+    while True:
         moved = state.join(step, "up", "left")
         stop = F.col("up_slug").isNull() | F.array_contains("seen", F.col("up"))
         moved = session.checkpoint(moved.withColumn("stop", F.coalesce(stop, F.lit(True))))
@@ -95,7 +95,6 @@ def ancestor_paths(pages: DataFrame, *, item: str, parent: str, slug: str, sep:
             F.concat("seen", F.array("up")).alias("seen"))
         if state.isEmpty():
             return reduce(DataFrame.unionByName, done)
-    raise ValueError("hierarchy deeper than max_depth")
 
 
 def projects_of_people(people: DataFrame, projects: DataFrame, members: DataFrame, per_person: int = 5) -> DataFrame:
@@ -111,11 +110,14 @@ def projects_of_people(people: DataFrame, projects: DataFrame, members: DataFram
     led = projects.join(people.withColumnRenamed("person", "coordinator"), "coordinator").select(
         "question", "project", "coordinator", "start")
 
+    latest = F.lit((1 << 63) - 1)
+
     def ranked(df: DataFrame) -> DataFrame:
-        block = -F.datediff("start", F.lit("1970-01-01"))
+        # Projects without a start come last.
+        block = F.coalesce(-F.datediff("start", F.lit("1970-01-01")), F.lit((1 << 31) - 1))
         return scan.numbered(df, ["question"], ["neg", "project"], "ord", block)
 
-    led = ranked(led.withColumn("neg", -F.unix_micros(F.col("start").cast("timestamp")))).join(limits, "question").filter(
+    led = ranked(led.withColumn("neg", F.coalesce(-F.unix_micros(F.col("start").cast("timestamp")), latest))).join(limits, "question").filter(
         F.col("ord") <= F.col("lim"))
     counts = limits.join(led.groupBy("question").agg(F.count("*").alias("got")), "question", "left").select(
         "question", (F.col("lim") - F.coalesce("got", F.lit(0))).alias("room"),
@@ -126,13 +128,13 @@ def projects_of_people(people: DataFrame, projects: DataFrame, members: DataFram
            .join(projects.filter(F.col("coordinator").isNotNull()), "project"))
     own = people.withColumnRenamed("person", "coordinator")
     via = via.join(own, ["question", "coordinator"], "left_anti")
-    member = ranked(via.withColumn("neg", -F.unix_micros(F.col("start").cast("timestamp")))).join(hungry, "question").filter(
+    member = ranked(via.withColumn("neg", F.coalesce(-F.unix_micros(F.col("start").cast("timestamp")), latest))).join(hungry, "question").filter(
         F.col("ord") <= F.col("room"))
     return (led.select("question", "project", F.lit("coordenador").alias("role"))
             .unionByName(member.select("question", "project", F.lit("membro").alias("role"))))
 
 
-def dossier(sections: list[tuple[str, DataFrame, str, Column, list[Column], int]]) -> DataFrame:
+def dossier(sections: list[tuple[str, DataFrame, str, Column, list[Column], int | None]]) -> DataFrame:
     """Long frame (key, section, ord, payload) from (name, frame, key, payload, order, limit)."""
     parts = []
     for name, frame, key, payload, order, n in sections:

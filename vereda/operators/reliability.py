@@ -138,10 +138,11 @@ class Recorder:
         self.buffer.append(row)
 
     def flush(self) -> bool:
-        rows, self.buffer = self.buffer, []
+        rows = list(self.buffer)
         try:
             if rows:
                 self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(self.path)
+            del self.buffer[:len(rows)]
             return True
         except Exception:  # noqa: BLE001
             return False

@@ -3,15 +3,25 @@
 A sequence is cut into blocks of its own order value (turns by count, events by
 time). Each (key, block) is scanned alone; only one summary row per block is
 ordered per key to carry state across. Hot keys therefore split over tasks.
-Keys must not be NULL.
+NULL keys form a group of their own, and NULL order values a block of theirs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_block(local: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the state before its block; NULL keys and NULL blocks match each other."""
+    names = [*keys, "__block"]
+    held = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], "__before")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)])
+    return local.join(held, on).drop(*[f"__k{i}" for i in range(len(names))])
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
                   block: Column) -> DataFrame:
     """`out` = last non-NULL `value` at or before each row of its key.
@@ -28,7 +38,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
     across = (Window.partitionBy(*keys).orderBy("__block")
               .rowsBetween(Window.unboundedPreceding, -1))
     before = last.withColumn("__before", F.last("__last", ignorenulls=True).over(across)).drop("__last")
-    return (local.join(before, [*keys, "__block"]).withColumn(out, F.coalesce("__local", "__before"))
+    return (_with_block(local, before, keys).withColumn(out, F.coalesce("__local", "__before"))
             .drop("__block", "__v", "__local", "__before"))
 
 
@@ -42,7 +52,7 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], hit: Column,
     across = (Window.partitionBy(*keys).orderBy("__block")
               .rowsBetween(Window.unboundedPreceding, -1))
     before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(across), F.lit(0))).drop("__s")
-    return (local.join(before, [*keys, "__block"])
+    return (_with_block(local, before, keys)
             .withColumn(out, F.col("__local") + F.col("__before"))
             .drop("__block", "__h", "__local", "__before"))
 
@@ -55,7 +65,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, ou
     last = b.groupBy(*keys, "__block").agg(F.max_by("__v", F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*keys).orderBy("__block")
     before = last.withColumn("__before", F.lag("__last").over(across)).drop("__last")
-    return (local.join(before, [*keys, "__block"])
+    return (_with_block(local, before, keys)
             .withColumn(out, F.coalesce("__local", "__before")["v"])
             .drop("__block", "__v", "__local", "__before"))
 

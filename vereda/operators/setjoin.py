@@ -119,8 +119,8 @@ def name_lookup(questions: DataFrame, names: DataFrame, threshold: float, k: int
     """
     # The distinct texts are read several times and far smaller than their tables.
     questions, names = session.checkpoint(questions), session.checkpoint(names)
-    q = questions.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
-    n = names.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
+    q = questions.select(F.col("text").alias("id"), T.word_trigrams(T.unaccent("text")).alias("tokens"))
+    n = names.select(F.col("text").alias("id"), T.word_trigrams(T.unaccent("text")).alias("tokens"))
     pairs = jaccard_join(q, n, threshold, strict=strict, digits=digits)
     if with_substring:
         hits = contains_join(
@@ -163,14 +163,14 @@ def entity_lookup(questions: DataFrame, catalog: DataFrame, threshold: float, k:
     from pyspark.sql import Window
     questions, catalog = session.checkpoint(questions), session.checkpoint(catalog)
     names = session.checkpoint(catalog.select("text").distinct())
-    q = questions.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
-    n = names.select(F.col("text").alias("id"), T.word_trigrams("text").alias("tokens"))
+    q = questions.select(F.col("text").alias("id"), T.word_trigrams(T.unaccent("text")).alias("tokens"))
+    n = names.select(F.col("text").alias("id"), T.word_trigrams(T.unaccent("text")).alias("tokens"))
     pairs = jaccard_join(q, n, threshold, strict=True)
     hits = contains_join(questions.select(F.col("text").alias("id"), T.normalize("text").alias("text")),
                          names.select(F.col("text").alias("id"), T.normalize("text").alias("text")))
     extra = hits.join(pairs, ["left_id", "right_id"], "left_anti").select(
         "left_id", "right_id",
-        F.round(T.jaccard(T.word_trigrams("left_id"), T.word_trigrams("right_id")), 6).alias("sim"))
+        F.round(T.jaccard(T.word_trigrams(T.unaccent("left_id")), T.word_trigrams(T.unaccent("right_id"))), 6).alias("sim"))
     found = (pairs.unionByName(extra).join(catalog.withColumnRenamed("text", "right_id"), "right_id")
              .select(F.col("left_id").alias("question"), "entity", F.col("right_id").alias("name"), "sim"))
     branch = Window.partitionBy("question", "entity").orderBy(F.col("sim").desc(), "name")

@@ -177,7 +177,7 @@ def two_step_projects(t):
 WITH f AS (SELECT c_custkey AS key, 'cliente' AS section, 1 AS ord, c_name || '; ' || c_mktsegment AS payload FROM customer
  UNION ALL SELECT o_custkey, 'resumo', 1, count(*) || ' pedidos' FROM orders GROUP BY 1
  UNION ALL SELECT o_custkey, 'pedidos', ord, o_orderkey || '=' || o_orderstatus FROM (
-   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS ord FROM orders) WHERE ord <= 20)
+   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS ord FROM orders))
 SELECT key, section, ord, payload FROM f""")
 def dossier_customers(t):
     counts = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
@@ -185,7 +185,7 @@ def dossier_customers(t):
         ("cliente", t.customer, "c_custkey", F.concat_ws("; ", "c_name", "c_mktsegment"), [F.col("c_custkey")], 1),
         ("resumo", counts, "o_custkey", F.concat(F.col("n").cast("string"), F.lit(" pedidos")), [F.col("n")], 1),
         ("pedidos", t.orders, "o_custkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("="), "o_orderstatus"),
-         [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")], 20)])
+         [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")], None)])
 
 
 @query("enrich_array_of_struct", """

@@ -407,7 +407,7 @@ def chunk_word_window_clean(t):
     return t.documents.select("doc_id", F.posexplode(C.word_windows("text", 100, 20, "clean")).alias("chunk_ix", "chunk"))
 
 
-@query("chunk_char_window", f"""WITH RECURSIVE src AS (SELECT doc_id, {WS_STRIP.format('text')} AS t FROM documents),
+CHAR_WINDOW_SQL = f"""WITH RECURSIVE src AS (SELECT doc_id, {WS_STRIP.format('text')} AS t FROM documents),
 walk AS (
   SELECT doc_id, t, length(t) AS n, 0::BIGINT AS beg, 0::BIGINT AS pos,
     CASE WHEN length(t) <= 2000 THEN length(t) ELSE (SELECT CASE WHEN b > 1000 THEN b + 1 ELSE 2000 END FROM (
@@ -419,8 +419,11 @@ walk AS (
     CASE WHEN s + 2000 >= n THEN n ELSE s + CASE WHEN b > 1000 THEN b + 1 ELSE 2000 END END
   FROM (SELECT *, greatest(CASE WHEN instr(reverse(w), chr(10)) = 0 THEN -1 ELSE length(w) - instr(reverse(w), chr(10)) END,
                            CASE WHEN instr(reverse(w), ' ') = 0 THEN -1 ELSE length(w) - instr(reverse(w), ' ') END) AS b
-        FROM (SELECT *, substr(t, s + 1, 2000) AS w FROM (SELECT *, greatest(stop - 200, beg + 1) AS s FROM walk WHERE stop < n))))
-SELECT doc_id, pos AS chunk_ix, {WS_STRIP.format('substr(t, beg + 1, stop - beg)')} AS chunk FROM walk""")
+        FROM (SELECT *, substr(t, s + 1, 2000) AS w FROM (SELECT *, greatest(stop - 200, beg + 1) AS s FROM walk WHERE stop < n)))),
+pieces AS (SELECT doc_id, pos, {WS_STRIP.format('substr(t, beg + 1, stop - beg)')} AS piece, t, count(*) OVER (PARTITION BY doc_id) AS n FROM walk)"""
+
+
+@query("chunk_char_window", f"{CHAR_WINDOW_SQL} SELECT doc_id, pos AS chunk_ix, piece AS chunk FROM pieces")
 def chunk_char_window(t):
     return t.documents.select("doc_id", F.posexplode(C.char_windows("text")).alias("chunk_ix", "chunk"))
 
@@ -449,23 +452,31 @@ def chunk_overlap_prefix(t):
     return t.documents.select("doc_id", F.posexplode(C.overlap_prefix(C.word_windows("text", 150, 30))).alias("chunk_ix", "chunk"))
 
 
-@query("facet_emit", f"""WITH s AS (SELECT doc_id, {WS_STRIP.format('text')} AS t FROM documents)
-SELECT doc_id AS key, split_part(source, '#', 1) AS family, count(*) AS pieces FROM documents JOIN s USING (doc_id)
-WHERE length(t) BETWEEN 25 AND 2000 GROUP BY 1, 2""")
+@query("facet_emit", f"""{CHAR_WINDOW_SQL}
+SELECT doc_id AS key, split_part(source, '#', 1) AS family, count(*) AS pieces, sum(length(piece)) AS chars
+FROM pieces JOIN documents USING (doc_id) WHERE length(t) >= {C.MIN_FACET} GROUP BY 1, 2""")
 def facet_emit(t):
-    rows = C.facets(t.documents, "doc_id", scope=F.col("source"), title=F.concat(F.lit("Documento "), F.col("doc_id").cast("string")),
-                    text=F.col("text"))
-    return (rows.filter(F.col("chunks") == 1).groupBy("key", C.scope_family("scope").alias("family"))
-            .agg(F.count("*").alias("pieces")))
-
-
-@query("facet_pieces")
+    title = F.concat(F.lit("Documento "), F.col("doc_id").cast("string"))
+    rows = C.facets(t.documents, "doc_id", scope=F.col("source"), title=title, text=F.col("text"))
+    # Without its header, which ends with the first line.
+    body = F.length("text") - F.locate("\n", "text")
+    return rows.groupBy("key", C.scope_family("scope").alias("family")).agg(
+        F.count("*").alias("pieces"), F.sum(body).alias("chars"))
+
+
+@query("facet_pieces", f"""{CHAR_WINDOW_SQL}
+SELECT doc_id AS key, source || CASE WHEN pos = 0 THEN '' ELSE '#' || (pos + 1) END AS scope, 'Documento ' || doc_id AS title,
+ NULL::VARCHAR AS url, 'Documento ' || doc_id || CASE WHEN n > 1 THEN ' (parte ' || (pos + 1) || '/' || n || ')' ELSE '' END || chr(10) || piece AS text,
+ pos + 1 AS chunk, n AS chunks FROM pieces JOIN documents USING (doc_id) WHERE length(t) >= {C.MIN_FACET}""")
 def facet_pieces(t):
     return C.facets(t.documents, "doc_id", scope=F.col("source"),
                     title=F.concat(F.lit("Documento "), F.col("doc_id").cast("string")), text=F.col("text"))
 
 
-@query("facet_pieces_portal")
+@query("facet_pieces_portal", f"""{CHAR_WINDOW_SQL}
+SELECT doc_id AS key, source || CASE WHEN n = 1 THEN '' ELSE '#' || pos END AS scope, lang AS title, NULL::VARCHAR AS url,
+ CASE WHEN pos = 0 THEN piece ELSE left(split_part(t, chr(10) || chr(10), 1), 400) || chr(10) || '(continuação ' || (pos + 1) || ')' || chr(10) || piece END AS text,
+ pos AS chunk, n AS chunks FROM pieces JOIN documents USING (doc_id) WHERE length(t) >= {C.MIN_PORTAL_FACET}""")
 def facet_pieces_portal(t):
     return C.portal_facets(t.documents, "doc_id", scope=F.col("source"), title=F.col("lang"), text=F.col("text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -50,14 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Inputs above this size are never moved to spread them.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df, spark: SparkSession | None = None):
-    """Split an input of fewer partitions than cores, for work that is heavy per row.
+    """Deal a small input out to all cores, for work that is heavy per row.
 
-    A large input already has many partitions and is returned as it is, so this
-    never shuffles big data.
+    A small file is read by one task however many cores there are. The size is
+    the optimizer's own estimate; larger inputs have splits enough and are
+    returned as they are, so this never shuffles big data.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = (spark or df.sparkSession).sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
 def checkpoint(df, spark: SparkSession | None = None):
@@ -70,7 +77,7 @@ def checkpoint(df, spark: SparkSession | None = None):
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         if configured is None:
             import tempfile

@@ -193,7 +193,7 @@ def ingest(docs: DataFrame, root: str, chunker, embedder, cap: int | None = None
     spark = docs.sparkSession
     chunks = chunker(capped_by_type(docs, cap)).withColumn("id", F.concat_ws("#", "doc_id", F.col("chunk_ix").cast("string")))
     vecs = embedder(chunks)
-    full = chunks.join(vecs, "id").join(docs.select("doc_id", "kind", "title"), "doc_id")
+    full = chunks.join(vecs, "id", "left").join(docs.select("doc_id", "kind", "title"), "doc_id")
     full.write.mode("overwrite").partitionBy("kind").parquet(f"{root}/typed")
     stored = spark.read.parquet(f"{root}/typed")
     (stored.withColumn("collection", R.collection_of_type("kind")).write.mode("overwrite")
@@ -222,11 +222,12 @@ def dry_run_report(facets: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table (a report, not a data path)."""
-    rows = df.limit(limit).collect()
+    """The first rows of a result as a Markdown table; a last line tells if there are more."""
+    rows = df.limit(limit + 1).collect()
+    more, rows = len(rows) > limit, rows[:limit]
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v).replace("\n", " ").replace("|", "\\|") for v in r) + " |" for r in rows]
-    return "\n".join(lines)
+    return "\n".join([*lines, f"\n(only the first {limit} rows)"] if more else lines)
 
 
 def null_placeholders(df: DataFrame) -> DataFrame:
