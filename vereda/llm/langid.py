@@ -34,6 +34,8 @@ _SLICE = 1 << 18
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n codewords (rows) of +1 and -1: all distinct splits for up to five languages, else random ones far apart."""
+    if n == 0:
+        return np.ones((0, 1), np.int8)
     if n <= 5:
         rest = list(itertools.product((1, -1), repeat=max(n - 1, 0)))
         splits = [(1, *x) for x in rest if -1 in x]

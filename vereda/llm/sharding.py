@@ -45,7 +45,9 @@ def _top(key: str, bits: int) -> F.Column:
 
 def borders(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """Shard s + 1 begins at the s-th pair (k1, k2); pairs are numbers from 0 to 2 ** 64 in the keys' order."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total = rows.agg(F.sum("size")).first()[0]
+    if total is None:
+        return []
     slack = tolerance * total / shards
     want = {s: total * (s + 1) / shards for s in range(shards - 1)}
     found: dict[int, tuple[int, int]] = {}
@@ -81,7 +83,7 @@ def borders(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
                 else:
                     later[s] = (top, 0) if key == "k1" and not left else (bin_[0], top)
             bins = later
-    return sorted(found.values()) if total else []
+    return sorted(found.values())
 
 
 def shard(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
