@@ -1,5 +1,6 @@
 """Views, integrity, scans, sources, tools, streaming."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -222,3 +223,33 @@ def test_facets_of_entities(spark, tables):
     assert "Documentos anexos:\n  - Edital: Edital 1" in got[("ppgc_edital", "e1", "edital")]
     v = spark.createDataFrame([("a", "9", False), ("a", "10", False), ("b", "3", True), ("b", "7", False)], "curso_codigo string, versao string, is_atual boolean")
     assert {r[0]: r[1] for r in facets.current_version(v).collect()} == {"a": "10", "b": "3"}
+
+
+def test_scans_keep_null_keys_and_order(spark):
+    rows = [("a", 1, "x"), ("a", None, "y"), ("a", 3, None), (None, 1, "z"), (None, 2, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "key string, at int, value string")
+    block = F.floor(F.col("at") / 2)
+    carried = scan.carry_forward(df, ["key"], ["at"], F.col("value"), "last", block).collect()
+    assert sorted(((r["key"] or "", r["at"] or 0), r["last"]) for r in carried) == sorted([
+        (("a", 0), "y"), (("a", 1), "x"), (("a", 3), "x"), (("", 0), None), (("", 1), "z"), (("", 2), "z")], key=lambda x: x[0])
+    numbered = scan.numbered(df, ["key"], ["at"], "n", block).collect()
+    assert {(r["key"], r["at"]): r["n"] for r in numbered} == {
+        ("a", None): 1, ("a", 1): 2, ("a", 3): 3, (None, None): 1, (None, 1): 2, (None, 2): 3}
+    before = scan.previous(df, ["key"], ["at"], F.col("value"), "before", block).collect()
+    assert len(before) == 6
+
+
+def test_projects_without_start_come_last(spark):
+    people = spark.createDataFrame([(1, 10)], "question long, person long")
+    projects = spark.createDataFrame([(100, 10, None), (101, 10, dt.date(2020, 1, 1)), (102, 10, dt.date(2021, 1, 1))],
+                                     "project long, coordinator long, start date")
+    members = spark.createDataFrame([(100, 10)], "project long, person long")
+    got = relate.projects_of_people(people, projects, members, 5)
+    assert {r["project"] for r in got.collect()} == {100, 101, 102}
+    assert {r["project"] for r in relate.projects_of_people(people, projects, members, 2).filter("role = 'coordenador'").collect()} == {101, 102}
+
+
+def test_deep_tree(spark):
+    rows = [(i, i - 1 if i else None, f"t{i}") for i in range(66)]
+    edges = spark.createDataFrame(rows, "item long, parent long, title string")
+    assert relate.tree_paths(edges, item="item", parent="parent", title="title").agg(F.max("level")).first()[0] == 65

@@ -170,4 +170,12 @@ def test_embedder(spark):
             return [[1.0] for _ in texts]
 
     docs = spark.createDataFrame([(1, "bom"), (2, "ruim")], "id long, text string").coalesce(1)
-    assert [r["id"] for r in embed.embed_with(docs, "text", Flaky(), batch=1).collect()] == [1]
+    rows = {r["id"]: r for r in embed.embed_with(docs, "text", Flaky(), batch=1).collect()}
+    assert rows[1]["embedding"] == [1.0] and rows[1]["error"] is None
+    assert rows[2]["embedding"] is None and rows[2]["error"] == "OSError: 429"
+
+
+def test_rows_without_vector_are_no_candidates(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in nearest.search(corpus, asked, 5).orderBy("rank").collect()] == [(7, 1), (7, 3)]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -26,17 +25,25 @@ class Embedder(Protocol):
     def embed_documents(self, texts: list[str]) -> list[list[float]]: ...
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:2], 16)
+class _Slots(dict):
+    """The hashed slot of each token seen, up to a number."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[token] = slot = int(hashlib.md5(token.encode()).hexdigest()[:2], 16)
+        return slot
+
+
+_SLOTS = _Slots()
 
 
 def vectors(token_lists, dims: int = DIMS) -> np.ndarray:
     """Unit bag-of-words vectors: each token adds one to a hashed slot."""
-    out = np.zeros((len(token_lists), dims))
-    for row, toks in enumerate(token_lists):
-        for t in toks:
-            out[row, _slot(t) % dims] += 1.0
+    sizes = [len(x) for x in token_lists]
+    slots = np.fromiter((_SLOTS[t] for toks in token_lists for t in toks), np.int64, sum(sizes)) % dims
+    cell = np.repeat(np.arange(len(sizes)), sizes) * dims + slots
+    out = np.bincount(cell, minlength=len(sizes) * dims).astype(np.float64).reshape(len(sizes), dims)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -7,7 +7,6 @@ task, so common words never produce a document-by-question pair list.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,33 +77,35 @@ def _scored(docs, questions, k, text, tokenizer, digits, bound):
                               digits=digits, bound=bound)
 
 
-def term_matrix(term_lists) -> tuple[dict[str, int], list, list, int]:
-    """Vocabulary with, per term, the questions using it and their weights."""
+def term_matrix(term_lists) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Vocabulary and, as compressed rows per term, the questions using it and their weights."""
     vocab: dict[str, int] = {}
-    cols: list[list[int]] = []
-    vals: list[list[float]] = []
-    for j, terms in enumerate(term_lists):
-        for t in terms if terms is not None else ():
-            at = vocab.setdefault(t["term"], len(vocab))
-            if at == len(cols):
-                cols.append([])
-                vals.append([])
-            cols[at].append(j)
-            vals[at].append(t["w"])
-    return vocab, [np.array(c) for c in cols], [np.array(v) for v in vals], len(term_lists)
+    found = [(vocab.setdefault(t["term"], len(vocab)), j, t["w"])
+             for j, terms in enumerate(term_lists) if terms is not None for t in terms]
+    found.sort(key=lambda x: x[:2])
+    at = np.array([x[0] for x in found], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(vocab)))]).astype(np.int64)
+    return vocab, starts, np.array([x[1] for x in found], dtype=np.int64), np.array([x[2] for x in found]), len(term_lists)
 
 
 def score_tokens(token_lists, block, stats: Stats) -> np.ndarray:
-    """BM25 of each token list for each question of the block."""
-    vocab, cols, vals, n_questions = block
-    out = np.zeros((len(token_lists), n_questions))
-    for row, toks in enumerate(token_lists):
-        norm = K1 * (1 - B + B * len(toks) / stats.avg_len) if stats.avg_len else K1
-        counts = Counter(vocab[t] for t in toks if t in vocab)
-        if counts:
-            parts = [vals[t] * (f * (K1 + 1) / (f + norm)) for t, f in counts.items()]
-            out[row] = np.bincount(np.concatenate([cols[t] for t in counts]), np.concatenate(parts), n_questions)
-    return out
+    """BM25 of each token list for each question of the block: a sparse product of term counts and weights."""
+    vocab, starts, cols, vals, n_questions = block
+    sizes = np.array([len(x) for x in token_lists], dtype=np.int64)
+    known = vocab.get
+    flat = np.array([known(t, -1) for toks in token_lists for t in toks], dtype=np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)[flat >= 0]
+    if not len(row):
+        return np.zeros((len(sizes), n_questions))
+    pairs, f = np.unique(row * len(vocab) + flat[flat >= 0], return_counts=True)
+    row, term = pairs // len(vocab), pairs % len(vocab)
+    norm = K1 * (1 - B + B * sizes / stats.avg_len) if stats.avg_len else np.full(len(sizes), K1)
+    gain = f * (K1 + 1) / (f + norm[row])
+    # Each (document, term) meets the questions of its term.
+    many = starts[term + 1] - starts[term]
+    at = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    cell = np.repeat(row, many) * n_questions + cols[at]
+    return np.bincount(cell, np.repeat(gain, many) * vals[at], len(sizes) * n_questions).reshape(len(sizes), n_questions)
 
 
 def weigh(questions: DataFrame, df: DataFrame, stats: Stats, text: str, tokenizer) -> DataFrame:

@@ -4,12 +4,14 @@ Work is split over corpus partitions. Each task scores its Arrow batches
 against the question block with one matrix product, keeps the best k per
 question (and per branch) as it goes, and ships only those rows; a windowed
 top-k over the survivors finishes the job. The corpus itself is never shuffled
-in the usual case of few questions, and no pair list is ever written.
+or copied, and no pair list is ever written. More questions than a block holds
+make more passes over the corpus, all alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "l2", "l1", "ip")
-# Questions shipped to every task, checked before use; above it, tiles are joined.
+# Questions of a block, which is shipped to every task.
 BROADCAST_QUESTIONS = 2048
-TILE = 512
 # Corpus rows scored at a time: bounds the rows x questions matrix of a task.
 SCORED_ROWS = 2048
 DIGITS = 4
@@ -119,70 +120,32 @@ def run_scored(corpus: DataFrame, payload: str, questions: DataFrame, prepare, s
     schema = f"query_id {q_type}, id {id_type}, score double"
     if grouped:
         schema += f", grp {corpus.schema['grp'].dataType.simpleString()}"
-    head = questions.limit(bound + 1).toPandas()
-
-    if len(head) <= bound:
-        # Bounded question block: travels in the task closure, corpus stays put.
+    def local(head: pd.DataFrame) -> DataFrame:
+        """The corpus against one block of questions, which travels in the task closure; the corpus stays put."""
         qids, prepared = list(head["query_id"]), prepare(head)
 
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            run = _Running(k, grouped, ascending, digits)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Running(k, grouped, ascending, digits)
             for pdf in batches:
                 for at in range(0, len(pdf) if qids else 0, SCORED_ROWS):
                     part = pdf.iloc[at:at + SCORED_ROWS]
-                    out = run.add(qids, part["id"].to_numpy(), part["grp"].to_numpy() if grouped else None,
-                                  score(part["payload"], prepared))
+                    out = best.add(qids, part["id"].to_numpy(), part["grp"].to_numpy() if grouped else None,
+                                   score(part["payload"], prepared))
                     if out is not None:
                         yield out
-            out = run.flush()
+            out = best.flush()
             if out is not None:
                 yield out
 
-        return corpus.mapInPandas(local, schema)
-
-    # Many questions: hash them into tiles and let each corpus block meet each
-    # tile through an equi-join on the tile number.
-    n_tiles = -(-questions.count() // TILE)
-    q_cols = questions.columns
-    tiles = (questions.withColumn("tile", F.pmod(F.xxhash64("query_id"), F.lit(n_tiles)).cast("int"))
-             .groupBy("tile").agg(F.collect_list(F.struct(*q_cols)).alias("block_q")))
-    packed = _pack(corpus, grouped)
-    met = (packed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
-           .join(tiles, "tile"))
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                q = pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in row.block_q], columns=q_cols)
-                run = _Running(k, grouped, ascending, digits)
-                out = run.add(list(q["query_id"]), np.asarray(row.ids),
-                              np.asarray(row.grps) if grouped else None,
-                              score(pd.Series(list(row.payloads)), prepare(q)))
-                out = out if out is not None else run.flush()
-                if out is not None:
-                    yield out
-
-    return met.mapInPandas(joined, schema)
-
-
-def _pack(corpus: DataFrame, grouped: bool, rows: int = 1024) -> DataFrame:
-    """Fold each partition into rows of up to `rows` corpus entries, no shuffle."""
-    id_type = corpus.schema["id"].dataType.simpleString()
-    p_type = corpus.schema["payload"].dataType.simpleString()
-    schema = f"ids array<{id_type}>, payloads array<{p_type}>"
-    if grouped:
-        schema += f", grps array<{corpus.schema['grp'].dataType.simpleString()}>"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at:at + rows]
-                row = {"ids": [part["id"].tolist()], "payloads": [part["payload"].tolist()]}
-                if grouped:
-                    row["grps"] = [part["grp"].tolist()]
-                yield pd.DataFrame(row)
-
-    return corpus.mapInPandas(fold, schema)
+        return corpus.mapInPandas(run, schema)
+
+    # One block is the usual case; more are dealt by hash, and each reads the corpus once.
+    head = questions.limit(bound + 1).toPandas()
+    if len(head) <= bound:
+        return local(head)
+    blocks = -(-questions.count() // bound)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [local(questions.filter(number == b).toPandas()) for b in range(blocks)])
 
 
 def top(scored: DataFrame, k: int, *, ascending: bool, by=("query_id",), rank: str = "rank") -> DataFrame:

@@ -309,13 +309,14 @@ def keyword_multi_search(t):
 
 @query("citation_match", f"""WITH {_bm25_sql(SPLIT_WS)},
 ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) AS rank FROM lex),
-cand AS (SELECT r.query_id, r.id, lower(b.text) AS answer,
-   list_filter({SPLIT_WS.format("lower(x.text)")}, lambda w: length(w) > 3) AS ws
+cand AS (SELECT r.query_id, r.id, lower(x.text) AS answer,
+   list_filter({SPLIT_WS.format("lower(b.text)")}, lambda w: length(w) > 3) AS ws
    FROM ranked r JOIN benchmark b ON b.item_id = r.query_id JOIN documents x ON x.doc_id = r.id WHERE rank <= 5)
 SELECT query_id, id FROM cand WHERE len(ws) > 0
 AND len(list_filter(ws, lambda w: contains(answer, w))) >= greatest(1, len(ws) // 2)""")
 def citation_match(t):
     found = lexical.search(_docs(t), _asked(t), 5).select("query_id", "id")
-    cand = (found.join(_asked(t).withColumnRenamed("text", "answer"), "query_id")
-            .join(_docs(t).select("id", F.col("text").alias("title")), "id"))
+    # The documents stand for answers, the passages for the titles that they may cite.
+    cand = (found.join(_asked(t).withColumnRenamed("text", "title"), "query_id")
+            .join(_docs(t).withColumnRenamed("text", "answer"), "id"))
     return cand.filter(fusion.cites("answer", "title")).select("query_id", "id")
