@@ -221,29 +221,31 @@ def eval_embedding_score(t):
 
 
 @query("eval_content_check", """
-WITH s AS (SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS a FROM conversations)
+WITH s AS (SELECT conv_id, turn, text, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS a FROM conversations)
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN contains(a, 'the') AND (contains(a, 'tion') OR contains(a, 'eree')) WHEN 1 THEN contains(a, 'ee') END AS content_ok,
- CASE WHEN turn % 2 = 0 THEN turn % 4 = 0 END AS tool_ok FROM s""")
+ CASE WHEN turn % 2 = 0 THEN list_has_any(regexp_split_to_array(text, '\\s+'), ['the', 'and']) END AS tool_ok FROM s""")
 def eval_content_check(t):
     must_all = F.when(F.col("turn") % 3 == 0, F.array(F.lit("THE"))).when(F.col("turn") % 3 == 1, F.array(F.lit("éé")))
     must_any = F.when(F.col("turn") % 3 == 0, F.array(F.lit("tíon"), F.lit("érée")))
-    used = F.when(F.col("turn") % 4 == 0, F.array(F.lit("sql"), F.lit("nome"))).otherwise(F.array(F.lit("web")))
-    expected = F.when(F.col("turn") % 2 == 0, F.array(F.lit("sql")))
+    # The words of the turn stand for the tools that it used.
+    used, expected = T.words("text"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("the"), F.lit("and")))
     return t.conversations.select("conv_id", "turn", evaluate.content_ok("text", must_all, must_any).alias("content_ok"),
                                   evaluate.tools_ok(used, expected).alias("tool_ok"))
 
 
-@query("eval_judge_parse", """
-WITH k AS (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)
-SELECT event_id, CASE WHEN k % 3 < 2 THEN least(k, 10)::INT END AS fidelidade, CASE WHEN k % 3 = 0 THEN 7::INT END AS relevancia,
- CASE WHEN k % 3 = 0 THEN 'ok' WHEN k % 3 = 1 THEN 'cort' END AS why FROM k""")
+@query("eval_judge_parse", r"""
+WITH k AS (SELECT doc_id, length(text) % 14 AS k, doc_id % 3 AS i, translate(text, '{}', '()') AS text FROM documents)
+SELECT doc_id, CASE WHEN i < 2 THEN least(k, 10)::INT END AS fidelidade, CASE WHEN i = 0 THEN 7::INT END AS relevancia,
+ CASE i WHEN 0 THEN text WHEN 1 THEN nullif(regexp_extract(replace(text, '"', '\"'), '^[^"]*'), '') END AS why FROM k""")
 def eval_judge_parse(t):
-    k = F.get_json_object("props", "$.k").cast("int")
-    whole = F.format_string('Segue: {"fidelidade": %d, "relevancia": "7", "completude": null, "justificativa": "ok"}', k)
-    cut = F.format_string('{"fidelidade": %d, "justificativa": "cort', k)
-    reply = F.when(k % 3 == 0, whole).when(k % 3 == 1, cut).otherwise("sem nota")
-    return t.events.select("event_id", evaluate.judge(reply).alias("j")).select(
-        "event_id", F.col("j.fidelidade").alias("fidelidade"), F.col("j.relevancia").alias("relevancia"),
+    text, k, kind = F.translate("text", "{}", "()"), F.length("text") % 14, F.col("doc_id") % 3
+    whole = F.concat(F.lit("Segue: "), F.to_json(F.struct(
+        k.alias("fidelidade"), F.lit("7").alias("relevancia"), F.lit(None).cast("string").alias("completude"), text.alias("justificativa"))))
+    # A reply that breaks off inside the text.
+    cut = F.concat(F.format_string('{"fidelidade": %d, "justificativa": "', k), F.replace(text, F.lit('"'), F.lit('\\"')))
+    reply = F.when(kind == 0, whole).when(kind == 1, cut).otherwise(F.concat(F.lit("sem nota: "), text))
+    return t.documents.select("doc_id", evaluate.judge(reply).alias("j")).select(
+        "doc_id", F.col("j.fidelidade").alias("fidelidade"), F.col("j.relevancia").alias("relevancia"),
         F.col("j.justificativa").alias("why"))
 
 

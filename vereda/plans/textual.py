@@ -230,14 +230,16 @@ def rule_classify(t):
 
 
 @query("rule_document_type", f"""
-WITH s AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'edital' WHEN 'click' THEN 'processo seletivo' WHEN 'error' THEN 'errata' ELSE '' END AS sec,
- CASE WHEN user_id % 3 = 0 THEN 'cronograma de entrevistas' WHEN user_id % 3 = 1 THEN 'ficha de inscricao' ELSE 'arquivo' END AS txt FROM events)
-SELECT event_id, coalesce({case_sql('txt', R.DOCUMENT_BY_STRONG_TEXT)}, {case_sql('sec', R.DOCUMENT_BY_SECTION)}, {case_sql('txt', R.DOCUMENT_BY_TEXT, 'outro')}) AS kind FROM s""")
+WITH s AS (SELECT doc_id, {NORM.format("source || CASE doc_id % 4 WHEN 0 THEN ' edital' WHEN 1 THEN ' processo seletivo' WHEN 2 THEN ' errata' ELSE '' END")} AS sec,
+ {NORM.format("text || CASE doc_id % 3 WHEN 0 THEN ' Cronograma de entrevistas' WHEN 1 THEN ' Ficha de inscrição' ELSE '' END")} AS txt FROM documents)
+SELECT doc_id, coalesce({case_sql('txt', R.DOCUMENT_BY_STRONG_TEXT)}, {case_sql('sec', R.DOCUMENT_BY_SECTION)}, {case_sql('txt', R.DOCUMENT_BY_TEXT, 'outro')}) AS kind FROM s""")
 def rule_document_type(t):
-    section = F.create_map(F.lit("view"), F.lit("Edital"), F.lit("click"), F.lit("Processo Seletivo"), F.lit("error"), F.lit("Errata"))
-    link = F.element_at(F.array(F.lit("Cronograma de entrevistas"), F.lit("Ficha de inscrição"), F.lit("Arquivo")),
-                        (F.col("user_id") % 3 + 1).cast("int"))
-    return t.events.select("event_id", R.document_type(F.try_element_at(section, F.col("event_type")), link).alias("kind"))
+    # The tails stand for the words of notices, which the synthetic texts lack.
+    kind = F.col("doc_id") % 4
+    section = F.concat("source", F.when(kind == 0, " edital").when(kind == 1, " processo seletivo").when(kind == 2, " errata").otherwise(""))
+    link = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Cronograma de entrevistas").when(
+        F.col("doc_id") % 3 == 1, " Ficha de inscrição").otherwise(""))
+    return t.documents.select("doc_id", R.document_type(section, link).alias("kind"))
 
 
 @query("rule_route", f"""
@@ -250,32 +252,34 @@ def rule_route(t):
 
 
 @query("router_reply_parse", """
-WITH s AS (SELECT event_id, (user_id % 11) / 10 AS c, CASE user_id % 3 WHEN 0 THEN 'ufpel_cursos' WHEN 1 THEN 'ufpel_projetos' ELSE 'outra' END AS col FROM events)
-SELECT event_id, CASE WHEN c >= 0.6 AND col <> 'outra' THEN col END AS collection FROM s""")
+WITH s AS (SELECT doc_id, (length(text) % 11) / 10 AS c,
+ CASE WHEN contains(text, 'tion') THEN 'ufpel_cursos' WHEN contains(text, 'der') THEN 'ufpel_projetos' ELSE 'outra' END AS col FROM documents)
+SELECT doc_id, CASE WHEN c >= 0.6 AND col <> 'outra' THEN col END AS collection FROM s""")
 def router_reply_parse(t):
-    name = F.element_at(F.array(F.lit("ufpel_cursos"), F.lit("ufpel_projetos"), F.lit("outra")), (F.col("user_id") % 3 + 1).cast("int"))
-    reply = F.format_string('Claro!\n{"collection": "%s", "confidence": %.1f} fim }', name, (F.col("user_id") % 11) / 10)
-    return t.events.select("event_id", R.routed_reply(reply).alias("collection"))
-
-
-def _understand(t):
-    kinds = ("quais disciplinas do curso de medicina com 4 créditos no 3º semestre?",
-             "corpo docente do curso de CC", "quem pesquisa visão computacional", "fale mais disciplinas",
-             "qual a ementa de cálculo?")
-    asked = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("turn") % 5 + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", asked.alias("asked"), "text")
-
-
-@query("question_intent", """
-WITH k(i, kind, course, semester, credits, area, more, hint, entity) AS (VALUES
- (0, 'CREDITOS_FILTER', 'medicina', '3º Semestre', 4, false, false, 'curso', 'medicina com 4 créditos no 3º semestre'),
- (1, 'PROFS_CURSO', 'ciência da computação', NULL, NULL, false, false, 'servidor', 'do curso de cc'),
- (2, NULL, NULL, NULL, NULL, true, false, NULL, 'quem pesquisa visão computacional'),
- (3, NULL, NULL, NULL, NULL, false, true, NULL, 'fale mais disciplinas'),
- (4, NULL, NULL, NULL, NULL, false, false, NULL, 'cálculo'))
-SELECT conv_id, turn, kind, course, semester, credits::INT AS credits, area, more, hint, entity FROM conversations JOIN k ON k.i = turn % 5""")
+    name = F.when(F.contains("text", F.lit("tion")), "ufpel_cursos").when(F.contains("text", F.lit("der")), "ufpel_projetos").otherwise("outra")
+    told = F.to_json(F.struct(name.alias("collection"), ((F.length("text") % 11) / 10).alias("confidence"),
+                              F.translate("text", "{}", "()").alias("motivo")))
+    return t.documents.select("doc_id", R.routed_reply(F.concat(F.lit("Claro!\n"), told, F.lit(" fim }"))).alias("collection"))
+
+
+#: A word of the text long enough to be none of the question words.
+_SUBJECT = "[a-z]{6,}"
+
+
+@query("question_intent", f"""
+WITH s AS (SELECT conv_id, turn, turn % 5 AS i, coalesce(nullif(regexp_extract(lower(text), '{_SUBJECT}'), ''), 'calculo') AS w FROM conversations)
+SELECT conv_id, turn, CASE i WHEN 0 THEN 'CREDITOS_FILTER' WHEN 1 THEN 'PROFS_CURSO' END AS kind, CASE WHEN i < 2 THEN w END AS course,
+ CASE WHEN i = 0 THEN '3º Semestre' END AS semester, CASE WHEN i = 0 THEN 4 END AS credits, i = 2 AS area, i = 3 AS more,
+ CASE i WHEN 0 THEN 'curso' WHEN 1 THEN 'servidor' END AS hint,
+ CASE i WHEN 0 THEN w || ' com 4 créditos no 3º semestre' WHEN 1 THEN 'do curso de ' || w WHEN 2 THEN 'quem pesquisa ' || w WHEN 3 THEN 'fale mais disciplinas ' || w ELSE w END AS entity
+FROM s""")
 def question_intent(t):
-    s = _understand(t).withColumn("i", R.intent("asked"))
+    word = F.coalesce(F.nullif(F.regexp_extract(F.lower("text"), _SUBJECT, 0), F.lit("")), F.lit("calculo"))
+    kind = F.col("turn") % 5
+    asked = (F.when(kind == 0, F.concat(F.lit("quais disciplinas do curso de "), word, F.lit(" com 4 créditos no 3º semestre?")))
+             .when(kind == 1, F.concat(F.lit("corpo docente do curso de "), word)).when(kind == 2, F.concat(F.lit("quem pesquisa "), word))
+             .when(kind == 3, F.concat(F.lit("fale mais disciplinas "), word)).otherwise(F.concat(F.lit("qual a ementa de "), word, F.lit("?"))))
+    s = t.conversations.select("conv_id", "turn", asked.alias("asked")).withColumn("i", R.intent("asked"))
     return s.select("conv_id", "turn", F.col("i.kind").alias("kind"), F.col("i.course").alias("course"),
                     F.col("i.semester").alias("semester"), F.col("i.credits").alias("credits"),
                     R.is_area_question("asked").alias("area"), R.is_continuation("asked").alias("more"),
@@ -368,14 +372,24 @@ def guard_simple(t):
     return t.documents.select("doc_id", R.guard_simple("text").alias("reason"))
 
 
-@query("guard_sql_text", """
-SELECT event_id, CASE WHEN k % 5 = 0 THEN 'many_statements' WHEN k % 5 = 1 THEN 'not_a_select' WHEN k % 5 = 2 THEN 'forbidden_keyword' END AS reason
-FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+QUOTED = r"'[^']*'"
+
+
+@query("guard_sql_text", f"""
+WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'select ' || text
+ WHEN 2 THEN 'with x as (select ''' || replace(text, '''', '''''') || ''') select * from x;'
+ ELSE 'select ''' || replace(text, '''', '''''') || ''' as a delete' END AS st FROM documents),
+c AS (SELECT doc_id, trim(regexp_replace({WS_STRIP.format('st')}, ';\\s*$', '')) AS st FROM s),
+b AS (SELECT doc_id, st, regexp_replace(st, {lit(QUOTED)}, '''''', 'g') AS bare FROM c)
+SELECT doc_id, CASE WHEN contains(bare, ';') THEN 'many_statements' WHEN NOT regexp_matches(st, '(?i)^(select|with)\\b') THEN 'not_a_select'
+ WHEN regexp_matches(strip_accents(bare), {lit(R.SQL_FORBIDDEN)}) THEN 'forbidden_keyword' END AS reason FROM b""")
 def guard_sql_text(t):
-    k = F.get_json_object("props", "$.k").cast("int")
-    statements = F.array(F.lit("select 1; select 2"), F.lit("explain select 1"), F.lit("with x as (select 1) delete from y"),
-                         F.lit("select 'drop; ''table' as x;"), F.lit("WITH a AS (SELECT 1) SELECT * FROM a"))
-    return t.events.select("event_id", R.guard_sql(F.element_at(statements, k % 5 + 1)).alias("reason"))
+    quoted = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    kind = F.col("doc_id") % 4
+    statement = (F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("select "), "text"))
+                 .when(kind == 2, F.concat(F.lit("with x as (select "), quoted, F.lit(") select * from x;")))
+                 .otherwise(F.concat(F.lit("select "), quoted, F.lit(" as a delete"))))
+    return t.documents.select("doc_id", R.guard_sql(statement).alias("reason"))
 
 
 @query("cache_key", f"""
