@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import operations, relational, retrieval, textual  # noqa: F401
+from . import operations, parsed, relational, retrieval, textual  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -591,3 +591,32 @@ def page_blocks(t):
     from ..sources import elements
     els = elements.elements(t.pages)
     return els.filter(F.col("tag") == "p").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query("chunk_recursive_cover", """
+SELECT doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS content, true AS within FROM documents""")
+def chunk_recursive_cover(t):
+    """Without overlap the pieces hold every character but blanks, in order, none longer than the size."""
+    pieces = t.documents.select("doc_id", C.recursive("text", C.SIZE, 0).alias("p"))
+    return pieces.select("doc_id", F.sha2(F.regexp_replace(F.array_join("p", ""), r"[\s\x0B]+", ""), 256).alias("content"),
+                         F.forall("p", lambda x: F.length(x) <= C.SIZE).alias("within"))
+
+
+#: Text under headers, as the section splitter expects it, from the columns of a table.
+SECTIONED = ("Nome do Projeto: ", "\nResumo: ", "\nEquipe: ", "\nUnidade: ")
+
+
+@query("chunk_sections_cover", """
+SELECT doc_id, true AS structured, 'Nome do Projeto|Resumo|Equipe|Unidade' AS headers,
+ sha256(regexp_replace('NomedoProjeto:' || source || 'Resumo:' || text || 'Equipe:' || lang || 'Unidade:' || n_chars, '\\s+', '', 'g')) AS content
+FROM documents""")
+def chunk_sections_cover(t):
+    """The chunks of sectioned text name every header once and hold its words in order, overlaps aside."""
+    parts = [F.col("source"), F.col("text"), F.col("lang"), F.col("n_chars").cast("string")]
+    docs = t.documents.select("doc_id", F.concat(*[x for h, c in zip(SECTIONED, parts) for x in (F.lit(h), c)]).alias("text"))
+    rows = C.section_chunks(docs, "doc_id", "text", section_overlap=0)
+    whole = rows.groupBy("doc_id").agg(
+        F.bool_and("structured").alias("structured"), F.array_sort(F.collect_list(F.struct("chunk_ix", "chunk", "section_headers"))).alias("c"))
+    return whole.select(
+        "doc_id", "structured", F.array_join(F.flatten(F.transform("c", lambda x: x["section_headers"])), "|").alias("headers"),
+        F.sha2(F.regexp_replace(F.array_join(F.transform("c", lambda x: x["chunk"]), ""), r"[\s\x0B]+", ""), 256).alias("content"))
