@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -67,20 +68,26 @@ def spread(df, spark: SparkSession | None = None):
     return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
-def checkpoint(df, spark: SparkSession | None = None):
-    """Cut lineage through the shared folder named by `spark.checkpoint.dir`.
-
-    The folder is the cluster's; one is set here only where the session names
-    none, which is the case in local tests.
-    """
-    spark = spark or df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`; a temporary one only in a single-process session that names none."""
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    if configured is None:
+        import tempfile
+        configured = tempfile.mkdtemp(prefix="vereda-ckpt-")
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        if configured is None:
-            import tempfile
-            configured = tempfile.mkdtemp(prefix="vereda-ckpt-")
         sc.setCheckpointDir(configured)
+    return configured
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's tables below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df, spark: SparkSession | None = None):
+    """Cut lineage through the shared folder named by `spark.checkpoint.dir`."""
+    shared_folder(spark or df.sparkSession)
     return df.checkpoint(eager=True)

@@ -22,13 +22,15 @@ RECORD_SCHEMA = ("id STRING, tipo STRING, titulo STRING, embedding_text STRING,
                  "dados_completos STRING, url STRING, title STRING, text STRING, crawled_at STRING")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Crawled records of either layout, as doc_id, kind, title, text, url, metadata, record.
 
+    `lines`: one record per line, which Spark can split; else one JSON array per file.
+
     The layout is told by the presence of `embedding_text`; the placeholder for
     missing values becomes NULL.
     """
-    raw = spark.read.schema(RECORD_SCHEMA).option("multiLine", True).json(path)
+    raw = spark.read.schema(RECORD_SCHEMA).option("multiLine", not lines).json(path)
     modern = F.col("embedding_text").isNotNull()
     url = F.coalesce(F.try_element_at("metadata", F.lit("url")), "url")
     out = raw.select(
