@@ -23,9 +23,9 @@ def keep_one(df: DataFrame, keys: list[str | Column], order: list[Column], colum
     return grouped.agg(F.min(row).alias("m")).select("m.r.*")
 
 
-def longest(df: DataFrame, key, text: str, seq: str) -> DataFrame:
-    """Per key the row with the longest text, the earliest on ties."""
-    return keep_one(df, [key], [-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(seq)])
+def longest(df: DataFrame, key, text: str, seq: str, columns: list[str] | None = None) -> DataFrame:
+    """Per key the row with the longest text, the earliest on ties; `columns` are those wanted of it."""
+    return keep_one(df, [key], [-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(seq)], columns)
 
 
 def richness(df: DataFrame, columns: list[str]) -> Column:

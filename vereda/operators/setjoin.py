@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import text as T
 
-# A token table up to this size is shipped to every task, otherwise shuffled.
-BROADCAST_TOKENS = 200_000
 
 
 def _ceil(x: Column) -> Column:
@@ -28,12 +26,14 @@ def _ceil(x: Column) -> Column:
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
-                 digits: int = 6, blocked: bool = False) -> DataFrame:
+                 digits: int = 6, blocked: bool = False, once: bool = False) -> DataFrame:
     """(left_id, right_id, sim) for pairs at or above (`strict`: above) the threshold.
 
     Both inputs hold one row per distinct set: `id`, `tokens` (array<string>).
     With `blocked`, both also have `block`; only pairs sharing a block are
-    compared, and an id may appear under several blocks.
+    compared, an id may appear under several blocks, and the result has the
+    block too. With `once`, a join of a frame with itself gives each pair of
+    different ids once, the smaller id on the left.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -42,8 +42,6 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
     exploded = [d.select(*keys, F.explode("tokens").alias("token")) for d in ([left] if same else [left, right])]
     freq = exploded[0].select("token") if same else exploded[0].select("token").unionByName(exploded[1].select("token"))
     freq = freq.groupBy("token").agg(F.count("*").alias("n"))
-    if freq.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
-        freq = F.broadcast(freq)
 
     def encode(rows: DataFrame) -> DataFrame:
         """Fingerprints sorted from rare to common. Read twice, so stored once."""
@@ -61,12 +59,15 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
 
     on = ["code", "block"] if blocked else ["code"]
     small, large = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
-    met = prefix(le, "left").join(prefix(re, "right"), on).filter(small >= _ceil(F.lit(threshold) * large))
+    met = prefix(le, "left").join(prefix(re, "right"), on)
+    if once:
+        met = met.filter(F.col("left_id") < F.col("right_id"))
+    met = met.filter(small >= _ceil(F.lit(threshold) * large))
     shared = met.groupBy("left_id", "right_id", "left_n", "right_n", *on[1:]).agg(
         F.count("*").alias("c"), F.max("left_pos").alias("lp"), F.max("right_pos").alias("rp"))
     most = F.col("c") + F.least(F.col("left_n") - 1 - F.col("lp"), F.col("right_n") - 1 - F.col("rp"))
     need = _ceil(F.lit(threshold / (1 + threshold)) * (F.col("left_n") + F.col("right_n")))
-    pairs = shared.filter(most >= need).select("left_id", "right_id").distinct()
+    pairs = shared.filter(most >= need).select("left_id", "right_id", *on[1:]).distinct()
 
     def full(e: DataFrame, side: str) -> DataFrame:
         one = e.select("id", "codes").dropDuplicates(["id"]) if blocked else e
@@ -74,10 +75,10 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
 
     inter = F.size(F.array_intersect("left_set", "right_set"))
     checked = (pairs.join(full(le, "left"), "left_id").join(full(re, "right"), "right_id")
-               .select("left_id", "right_id", inter.alias("i"), (F.size("left_set") + F.size("right_set")).alias("n"))
+               .select("left_id", "right_id", *on[1:], inter.alias("i"), (F.size("left_set") + F.size("right_set")).alias("n"))
                .withColumn("raw", F.col("i") / (F.col("n") - F.col("i"))))
     keep = F.col("raw") > threshold if strict else F.col("raw") >= threshold
-    return checked.filter(keep).select("left_id", "right_id", F.round("raw", digits).alias("sim"))
+    return checked.filter(keep).select("left_id", "right_id", *on[1:], F.round("raw", digits).alias("sim"))
 
 
 def contains_join(needles: DataFrame, haystack: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ def contains_join(needles: DataFrame, haystack: DataFrame) -> DataFrame:
         return F.when(F.length(c) >= 3, grams(c, 3)).when(F.length(c) == 2, grams(c, 2)).otherwise(grams(c, 1))
 
     text = F.col("text")
+    # Grams carry ids only; texts are joined to the candidates.
     hay = haystack.filter(F.length("text") > 0).select(
-        F.col("id").alias("right_id"), text.alias("hay"),
-        F.explode(F.array_distinct(F.concat(grams(text, 1), grams(text, 2), grams(text, 3)))).alias("gram"))
+        F.col("id").alias("right_id"), F.explode(F.array_distinct(F.concat(grams(text, 1), grams(text, 2), grams(text, 3)))).alias("gram"))
     freq = hay.groupBy("gram").agg(F.count("*").alias("n"))
     want = needles.filter(F.length("text") > 0).select(
         F.col("id").alias("left_id"), text.alias("needle"),
@@ -107,7 +108,9 @@ def contains_join(needles: DataFrame, haystack: DataFrame) -> DataFrame:
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
               .filter(F.col("best.n") > 0)
               .select("left_id", "needle", F.col("best.gram").alias("gram")))
-    return (rarest.join(hay, "gram").filter(F.contains("hay", "needle")).select("left_id", "right_id"))
+    texts = haystack.select(F.col("id").alias("right_id"), text.alias("hay"))
+    return (rarest.join(hay, "gram").select("left_id", "needle", "right_id").join(texts, "right_id")
+            .filter(F.contains("hay", "needle")).select("left_id", "right_id"))
 
 
 def name_lookup(questions: DataFrame, names: DataFrame, threshold: float, k: int, *,

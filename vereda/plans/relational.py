@@ -319,7 +319,7 @@ def distinct_rows(t):
 @query("dedup_longest", """
 SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1""")
 def dedup_longest(t):
-    return dedup.longest(t.documents, "source", "text", "doc_id").select("source", "doc_id", "n_chars")
+    return dedup.longest(t.documents, "source", "text", "doc_id", ["source", "doc_id", "n_chars"])
 
 
 RICH_SQL = """

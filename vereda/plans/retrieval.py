@@ -194,7 +194,7 @@ AND len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs))
 def trgm_whole_string(t):
     names = t.part.select(T.question_key(F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"))).alias("id")).distinct()
     sets = names.select("id", T.string_trigrams("id").alias("tokens"))
-    return setjoin.jaccard_join(sets, sets, 0.6).filter(F.col("left_id") < F.col("right_id"))
+    return setjoin.jaccard_join(sets, sets, 0.6, once=True)
 
 
 # --- lexical and hybrid -------------------------------------------------------------

@@ -24,6 +24,8 @@ def build(app: str = "vereda", master: str | None = None, **conf: str) -> SparkS
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
