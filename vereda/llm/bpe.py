@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose encodings a worker remembers, and their longest length; both bound memory only.
-CACHE, CACHED_LENGTH = 200_000, 48
+#: Pieces whose encodings a worker remembers, token pairs, and a piece's longest length; all bound memory only.
+CACHE, CACHED_PAIRS, CACHED_LENGTH = 100_000, 150_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +84,7 @@ class Codec:
         """Whether merging the two tokens' bytes from scratch gives back just these two."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._border_holds(left, right)
         return known
@@ -150,7 +150,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(packed: bytes, pattern: str) -> Codec:
     lines = (line.split() for line in packed.splitlines())
     return Codec({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)

@@ -280,7 +280,7 @@ def described(docs: DataFrame) -> DataFrame:
             prints, sketches = [], []
             for text in b["text"]:
                 found = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-                if len(known) > 1_000_000:
+                if len(known) > 150_000:
                     known.clear()
                 for w in set(found).difference(known):
                     known[w] = xxhash.xxh3_64_intdigest(w)

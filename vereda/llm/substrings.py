@@ -39,14 +39,14 @@ from .common import WORD_BYTES, Scratch, text_class
 WINDOW = 13
 ROUNDS = 2
 #: Bytes of text in a batch, and entries a task answers at once: they bound memory, not results.
-BATCH_BYTES, ANSWERED = 4 << 20, 600_000
+BATCH_BYTES, ANSWERED = 2 << 20, 600_000
 #: Order value of a NULL id.
 LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
 _BASE, _BASE2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 #: Words whose hashes a task remembers.
-_KNOWN = 1_000_000
+_KNOWN = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
