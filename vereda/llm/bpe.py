@@ -171,7 +171,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batch: pd.Series) -> pd.Series:
         codec = _codec(shared.value, pattern)
-        return pd.Series([codec.encode(t) if isinstance(t, str) else [] for t in batch])
+        return pd.Series([np.array(codec.encode(t) if isinstance(t, str) else [], np.int32) for t in batch])
 
     return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
@@ -216,7 +216,7 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = codec.encode(t) if isinstance(t, str) else []
             if codec.decode(ids) != (t if isinstance(t, str) else "").encode("utf-8", "surrogatepass"):
                 raise ValueError("a text did not survive encoding")
-            out.append(ids)
+            out.append(np.array(ids, np.int32))
         return pd.Series(out)
 
     rows = docs.select("doc_id", "source", F.pandas_udf(run, "array<int>")(F.col("text")).alias("ids"))
