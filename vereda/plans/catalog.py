@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import operations, parsed, relational, retrieval, stored, textual  # noqa: F401
+from . import operations, parsed, relational, retrieval, stored, textual, viewed  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
