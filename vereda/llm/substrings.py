@@ -152,7 +152,6 @@ class Text:
                 at = low - d
                 fits = (at >= 0) & (high <= at + WINDOW)
                 at, value = at[fits], own[fits]
-                # Few symbols share a first word; the second pass settles those.
                 np.minimum.at(best, at, value)
             found = open_ & (best != np.iinfo(_U).max)
             key[found] = best[found]

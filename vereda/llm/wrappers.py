@@ -205,16 +205,13 @@ def _mark(wrapper: list) -> None:
         for x in item[ITEMS]:
             mark(x, inside)
 
-    for x in [wrapper]:
-        mark(x, False)
+    mark(wrapper, False)
 
 
 def _match(page: list, wrapper: list, out: list[str]) -> bool:
     """Appends the page's texts that fall in marked slots; False if a text has no slot."""
-    slots = wrapper[ITEMS]
-    fits, at = True, 0
-    for run in _runs(page[ITEMS], slots):
-        item, slot = run
+    fits = True
+    for item, slot in _runs(page[ITEMS], wrapper[ITEMS]):
         if slot is None:
             fits &= _mass(item) <= 0
         elif item[SIG] == "#":
