@@ -558,7 +558,12 @@ def link_classes(t):
                                 H.file_name(u).alias("file"), H.link_class(u, "example.com").alias("kind"))
 
 
-@query("html_sections")
+@query("html_sections", f"""
+WITH b AS (SELECT page_id, {_drop_sql('html', ('head',) + tuple(H.IGNORED))} AS h FROM pages),
+p AS (SELECT page_id, regexp_extract(h, '^(.*?)<h1\\b', 1, 'si') AS pre, regexp_extract(h, '<h1\\b[^>]*>(.*?)</h1\\s*>', 1, 'si') AS head,
+ regexp_extract(h, '</h1\\s*>(.*)$', 1, 'si') AS post FROM b)
+SELECT page_id, 0 AS ordem, NULL::VARCHAR AS title, 0 AS level, NULL::VARCHAR AS anchor, {_text_sql('pre', H.IGNORED)} AS text FROM p
+UNION ALL SELECT page_id, 1, {TIDY_SQL.format(ENTITY_SQL.format("regexp_replace(head, '<[^>]*>', ' ', 'g')"))}, 1, NULL, {_text_sql('post', H.IGNORED)} FROM p""")
 def html_sections(t):
     return t.pages.select("page_id", F.posexplode(H.sections("html")).alias("ordem", "s")).select(
         "page_id", "ordem", F.col("s.title").alias("title"), F.col("s.level").alias("level"),
