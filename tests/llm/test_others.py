@@ -134,3 +134,42 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in state.collect()}
     assert len(rows) == state.count()
     assert all(codec.decode(r.ids).decode() == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in rows)
+
+
+MIXES = ["h2 p h2 p ul h2 p", "h1 p h2 p p h2 p ul p h2 p", "p h2 p h2 p table h2 p h2 p table blockquote p", "h2 p ul h2 p ul p h2 p ul table h2 p ul p",
+         "p p blockquote p p blockquote p ul blockquote p p", "h2 p h2 p div.share h2 p h2 p div.share p"]
+
+
+def mix(tags, n=0):
+    """A body of the blocks, and its text."""
+    html, said = [], []
+    for k, tag in enumerate(tags.split()):
+        words = f"{tag} number {n}.{k} says something here"
+        inner = {"ul": f"<li>{words} a</li><li>{words} b</li>", "table": f"<tr><td>{words} a</td><td>{words} b</td></tr>"}.get(tag, words)
+        html.append("<div class=share>Share this</div>" if tag == "div.share" else f"<{tag}>{inner}</{tag}>")
+        said += [] if tag == "div.share" else [f"{words} a {words} b"] if tag in ("ul", "table") else [words]
+    return "".join(html), " ".join(said)
+
+
+@pytest.mark.parametrize("box", ["article", "div class=x7"])
+def test_wrapper_repeated_blocks(spark, box):
+    """Blocks that repeat and recur keep their text, on single pages and on pages of one host."""
+    import random
+
+    rng = random.Random(3)
+    mixes = MIXES + [" ".join(rng.choice("h2 p p ul table blockquote".split()) for _ in range(rng.randint(5, 25))) for _ in range(60)]
+    rows, want = [], {}
+    for i, tags in enumerate(mixes):
+        body, want[i] = mix(tags, i)
+        want[1000 + i] = want[i]
+        source = f"<body><nav><a href=/>Menu</a></nav><{box}>{body}</{box.split()[0]}><footer>End</footer>"
+        rows += [(i, f"http://alone{i}/", source), (1000 + i, "http://shared/", source)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_wrapper_block_without_slot():
+    """A block of links that no slot of the host's wrapper takes stays in the article."""
+    w = wrappers._copy(wrappers.parse("<article><p>one two three</p></article>"))
+    page = wrappers.parse("<article><p>one two three</p><ul><li><a href=x>linked</a></ul></article>")
+    assert wrappers.extract(page, w, wrappers.main_block(w)) == "one two three linked"

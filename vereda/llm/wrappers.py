@@ -50,7 +50,7 @@ _ASIDE = re.compile(
 _MAIN = re.compile(r"^(?:article|main|content|post|entry|story|body|text)(?:$|[-_])", re.I)
 
 # A wrapper item is a list; these are its places. A signature "#" is a text slot.
-SIG, OPT, REP, CHARS, LINKED, ITEMS = range(6)
+SIG, OPT, REP, CHARS, LINKED, ITEMS, SOURCES = range(7)
 
 
 def parse(source: str) -> list:
@@ -98,11 +98,17 @@ def parse(source: str) -> list:
     return root
 
 
-def _copy(item: list) -> list:
-    """An item without its texts, its repetitions folded."""
-    if item[SIG] == "#":
-        return ["#", item[OPT], item[REP], item[CHARS], item[LINKED], []]
-    return [*item[:ITEMS], _fold([_copy(x) for x in item[ITEMS]])]
+def _copy(page: list, sources: bool = False) -> list:
+    """A page without its texts, its repetitions folded. With sources, each item also lists the page's items it stands for."""
+    root, order = [], [page]
+    for item in order:
+        if item[SIG] != "#":
+            order += item[ITEMS]
+    done: dict[int, list] = {}
+    for item in reversed(order):
+        items = [] if item[SIG] == "#" else _fold([done.pop(id(x)) for x in item[ITEMS]])
+        root = done[id(item)] = [*item[:ITEMS], items, *([[item]] if sources else [])]
+    return root
 
 
 def _fold(items: list) -> list:
@@ -120,7 +126,7 @@ def _fold(items: list) -> list:
                     group[0][REP] = True
                     out.append(group[0])
                 else:
-                    out.append(["(" + " ".join(sigs), False, True, 0, 0, group])
+                    out.append(["(" + " ".join(sigs), False, True, 0, 0, group, *([[]] if len(group[0]) > SOURCES else [])])
                 i = j
             else:
                 out.append(items[i])
@@ -161,102 +167,146 @@ def merge(a: list, b: list) -> list:
             items.append([one[SIG], True, *one[REP:]])
         else:
             items.append(merge(a[ITEMS][i], b[ITEMS][j]))
-    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], _fold(items)]
+    if len(a) > SOURCES:
+        a[SOURCES].extend(b[SOURCES])
+    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], _fold(items), *a[SOURCES:]]
 
 
 def _aside(sig: str) -> bool:
     tag, _, name = sig.partition(".")
-    return tag in _SKIPPED or bool(name and _ASIDE.match(name))
+    return tag in _SKIPPED or bool(name and not sig.startswith("(") and _ASIDE.match(name))
 
 
-def _mass(item: list) -> float:
-    """Running text below the item: characters, those in links counting against."""
-    if item[SIG] == "#":
-        return item[CHARS] - 2.0 * item[LINKED]
-    return 0.0 if _aside(item[SIG]) else sum(map(_mass, item[ITEMS]))
+def _rank(sig: str) -> int:
+    """How plainly a signature says that it is the article."""
+    tag, _, name = sig.partition(".")
+    if sig.startswith("("):
+        return 0
+    return 3 if tag == "article" else 2 if tag == "main" or name == "main" else 1 if name and _MAIN.match(name) else 0
+
+
+def _masses(wrapper: list) -> dict[int, float]:
+    """By identity of the item, running text below each item: characters, those in links counting against."""
+    order, out = [wrapper], {}
+    for item in order:
+        if item[SIG] != "#" and not _aside(item[SIG]):
+            order += item[ITEMS]
+    for item in reversed(order):
+        if item[SIG] == "#":
+            out[id(item)] = item[CHARS] - 2.0 * item[LINKED]
+        else:
+            out[id(item)] = 0.0 if _aside(item[SIG]) else sum(out[id(x)] for x in item[ITEMS])
+    return out
+
 
+def _mass(item: list) -> float:
+    return _masses(item)[id(item)]
 
-def _mark(wrapper: list) -> None:
-    """Replaces each item's OPT by whether it belongs to the text: it is the main block or lies in it."""
-    found: list[tuple[tuple, list]] = []
 
-    def look(item: list, depth: int) -> None:
+def main_block(wrapper: list) -> list:
+    """The item that holds the text; menus, notices and the like below it are not part of the text."""
+    mass, best, main, todo = _masses(wrapper), None, wrapper, [(wrapper, 0)]
+    while todo:
+        item, depth = todo.pop()
         if item[SIG] == "#" or _aside(item[SIG]):
-            return
-        tag, _, name = item[SIG].partition(".")
-        rank = 3 if tag == "article" else 2 if tag == "main" or name == "main" else 1 if name and _MAIN.match(name) else 0
-        if (weight := _mass(item)) > 0 and rank:
-            found.append(((rank, weight, -depth), item))
-        for x in item[ITEMS]:
-            look(x, depth + 1)
-
-    look(wrapper, 0)
-    if found:
-        main = max(found, key=lambda x: x[0])[1]
-    else:
+            continue
+        if (weight := mass[id(item)]) > 0 and (rank := _rank(item[SIG])) and (best is None or (rank, weight, -depth) > best):
+            best, main = (rank, weight, -depth), item
+        todo += [(x, depth + 1) for x in reversed(item[ITEMS])]
+    if best is None:
         # The innermost block that holds most of the running text.
-        main, whole = wrapper, _mass(wrapper)
-        while deeper := [x for x in main[ITEMS] if x[SIG] != "#" and not x[REP] and _mass(x) > 0.6 * whole]:
+        whole = mass[id(wrapper)]
+        while deeper := [x for x in main[ITEMS] if x[SIG] != "#" and not x[REP] and mass.get(id(x), 0.0) > 0.6 * whole]:
             main = deeper[0]
+    return main
 
-    def mark(item: list, inside: bool) -> None:
-        inside = (inside or item is main) and not (item is not main and _aside(item[SIG]))
-        item[OPT] = inside
-        for x in item[ITEMS]:
-            mark(x, inside)
 
-    mark(wrapper, False)
+def _texts(block: list, out: list[str]) -> None:
+    """Appends all texts of a page's block but those of menus, notices and the like."""
+    todo = [*reversed(block[ITEMS])]
+    while todo:
+        item = todo.pop()
+        if item[SIG] == "#":
+            out.append(item[ITEMS])
+        elif not _aside(item[SIG]):
+            todo += reversed(item[ITEMS])
 
 
-def _match(page: list, wrapper: list, out: list[str]) -> bool:
-    """Appends the page's texts that fall in marked slots; False if a text has no slot."""
-    fits = True
-    for item, slot in _runs(page[ITEMS], wrapper[ITEMS]):
+def _match(page: list, wrapper: list, main: list, out: list[str]) -> bool:
+    """Appends the texts of the page's blocks that take the slot `main`; False if a text outside of them has no slot."""
+    fits, todo, slots = True, [(page, wrapper)], {}
+    while todo:
+        item, slot = todo.pop()
         if slot is None:
-            fits &= _mass(item) <= 0
-        elif item[SIG] == "#":
-            if slot[OPT]:
-                out.append(item[ITEMS])
-        else:
-            fits &= _match(item, slot, out)
+            fits = fits and _mass(item) <= 0
+        elif slot is main:
+            _texts(item, out)
+        elif item[SIG] != "#":
+            if id(slot) not in slots:
+                slots[id(slot)] = _Slots(slot[ITEMS])
+            todo += reversed([*zip(item[ITEMS], slots[id(slot)].take(item[ITEMS]))])
     return fits
 
 
-def _runs(items: list, slots: list) -> Iterator[tuple[list, list | None]]:
-    """Each item with its slot: slots in order, a repeated one or a group as often as it fits."""
-    flat, at = [], []
-    for s in slots:
-        if s[SIG].startswith("("):
-            flat += [(x, len(flat)) for x in s[ITEMS]]
-            first = len(flat) - len(s[ITEMS])
-            at += [first] * len(s[ITEMS])
-        else:
-            flat.append((s, 0))
-            at.append(len(flat) - 1 if s[REP] else -1)
-    i = 0
-    for item in items:
-        back = at[i - 1] if i and at[i - 1] >= 0 else i
-        places = [*range(i, len(flat)), *range(back, i)]
-        if i and flat[i - 1][0][SIG] == item[SIG] and flat[i - 1][0][REP]:
-            places = [i - 1]
-        j = next((k for k in places if flat[k][0][SIG] == item[SIG]), None)
-        if j is None:
-            yield item, None
-        else:
-            yield item, flat[j][0]
-            i = j + 1
-
-
-def extract(page: list, wrapper: list | None) -> str:
-    """The main text of a parsed page; `wrapper` is marked."""
-    if wrapper is not None:
-        out: list[str] = []
-        if _match(page, wrapper, out) and out:
-            return " ".join(out)
-    own = _copy(page)
-    _mark(own)
+class _Slots:
+    """The slots of one level in order, those of groups and of groups in groups included.
+
+    Every slot may be left out, so a group is left and entered again anywhere: after a slot may come any later one and,
+    within the outermost repetition that holds it, any at all.
+    """
+
+    def __init__(self, items: list):
+        self.flat: list[list] = []
+        #: For each slot, the slots that may come before it are those of lesser places than this.
+        self.until: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        for top in items:
+            first, todo = len(self.flat), [top]
+            while todo:
+                x = todo.pop()
+                if x[SIG].startswith("("):
+                    todo += reversed(x[ITEMS])
+                else:
+                    self.at.setdefault(x[SIG], []).append(len(self.flat))
+                    self.flat.append(x)
+            inner = range(first, len(self.flat))
+            repeats = top[REP] or top[SIG].startswith("(")
+            self.until += [len(self.flat) if repeats else k for k in inner]
+
+    def take(self, items: list) -> list[list | None]:
+        """The slot of each item, None if it has none: as many items as can be have one, rather a slot all pages have."""
+        sigs, flat = [x[SIG] for x in items], self.flat
+        if sigs == [x[SIG] for x in flat]:
+            return [*flat]
+        # top[k]: the best way so far that ends in a slot before k, as (score, (way before, item, slot)).
+        top: list[tuple] = [(0, None)] * (len(flat) + 1)
+        for n, sig in enumerate(sigs):
+            found = []
+            for k in self.at.get(sig, ()):
+                score, way = top[self.until[k]]
+                found.append((k, score + (1 << 24) + (not flat[k][OPT]), (way, n, k)))
+            for k, score, way in found:
+                for later in range(k + 1, len(top)):
+                    if top[later][0] >= score:
+                        break
+                    top[later] = score, way
+        out: list[list | None] = [None] * len(items)
+        way = top[-1][1]
+        while way is not None:
+            way, n, k = way
+            out[n] = flat[k]
+        return out
+
+
+def extract(page: list, wrapper: list | None, main: list | None = None) -> str:
+    """The main text of a parsed page; `main` is the wrapper's main block."""
+    out: list[str] = []
+    if wrapper is not None and _match(page, wrapper, main, out) and out:
+        return " ".join(out)
     out = []
-    _match(page, own, out)
+    block = main_block(_copy(page, sources=True))
+    for item in block[SOURCES]:
+        _texts(item, out)
     return " ".join(out)
 
 
@@ -302,19 +352,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = scratch.put("known", infer(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked: dict[str, list] = {}
+        ready: dict[str, tuple[list, list]] = {}
         for b in batches:
             texts = []
             for source, wrapper in zip(b["html"], b["wrapper"]):
                 if not isinstance(source, str):
                     texts.append("")
                     continue
-                if isinstance(wrapper, str) and wrapper not in marked:
-                    if len(marked) >= HELD:
-                        marked.clear()
-                    marked[wrapper] = json.loads(wrapper)
-                    _mark(marked[wrapper])
-                texts.append(extract(parse(source), marked.get(wrapper)))
+                if isinstance(wrapper, str) and wrapper not in ready:
+                    if len(ready) >= HELD:
+                        ready.clear()
+                    whole = json.loads(wrapper)
+                    ready[wrapper] = whole, main_block(whole)
+                texts.append(extract(parse(source), *ready.get(wrapper, (None, None))))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     both = rows.withColumn("host", host()).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
