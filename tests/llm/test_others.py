@@ -173,3 +173,23 @@ def test_wrapper_block_without_slot():
     w = wrappers._copy(wrappers.parse("<article><p>one two three</p></article>"))
     page = wrappers.parse("<article><p>one two three</p><ul><li><a href=x>linked</a></ul></article>")
     assert wrappers.extract(page, w, wrappers.main_block(w)) == "one two three linked"
+
+
+EMBEDDED = [
+    ("<svg class=i viewBox='0 0 1 1'/><p>one</p><p>two</p>", "one two"),
+    ("<p>one<svg/>s</p><p>two <svg><path d=''/><text>no</text></svg>more</p>", "ones two more"),
+    ("<object data=x><p>one</p><p>two</p>", "one two"),
+    ("<p>one</p><select><option>no<option>no<p>two</p><h2>three</h2>", "one two three"),
+    ("<p>one <svg><path d=x></p><p>two</p>", "one two"),
+    ("<iframe src=x><p>one</p><template><p>two</p>", "one two"),
+    ("<p>one <select><option>no</option></select> two</p><object data=x><p>no</p></object><noscript><p>no</p></noscript><p>three", "one two three"),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>one</p>", "one"),
+    ("<svg><g><text>no</text></g></svg><p>one</p><script>if (a < b) { '<p>no</p>' }</script><p>two</p>", "one two")]
+
+
+@pytest.mark.parametrize("body, said", EMBEDDED)
+@pytest.mark.parametrize("ahead", ["", "<object data=a>", "<svg />", "<select>"])
+def test_wrapper_embedded(body, said, ahead):
+    """Embedded elements that close themselves or have no end tag swallow nothing."""
+    source = f"<body>{ahead}<article><h1>Head</h1>{body}</article><footer>End</footer><svg></svg>"
+    assert wrappers.extract(wrappers.parse(source), None) == f"Head {said}"

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,7 @@ SHARES = 64
 HELD = 2_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select|object)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*>|([^<]+|<)", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?\s*([A-Za-z][\w-]*)", re.I)
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
@@ -42,6 +43,12 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr img".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Embedded elements, left out as if they were not there. One without an end tag ends with its parent; its blocks belong to
+#: the parent, and within _NARROW ones, which hold no blocks, the first block ends it.
+_EMBEDDED = frozenset("svg object select iframe template noscript".split())
+_NARROW = frozenset(("svg", "select"))
+_BLOCKS = frozenset(
+    "p div h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table blockquote pre section article main header footer nav aside figure hr address".split())
 _SKIPPED = frozenset("nav footer aside form button dialog menu head title input option fieldset".split())
 _ASIDE = re.compile(
     r"^(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer\w*|head|header|masthead|"
@@ -56,7 +63,9 @@ SIG, OPT, REP, CHARS, LINKED, ITEMS, SOURCES = range(7)
 def parse(source: str) -> list:
     """The page as nested items [signature, False, False, chars, chars in links, items or text]."""
     root = ["", False, False, 0, 0, []]
-    stack, links, raw, linked = [root], 0, [], 0
+    stack, tags, links, raw, linked = [root], [""], 0, [], 0
+    #: How often each tag is open; by place in the stack, the text that an embedded element interrupts.
+    open_, before = Counter(), {}
 
     def flush() -> None:
         nonlocal raw, linked
@@ -66,6 +75,20 @@ def parse(source: str) -> list:
                 stack[-1][ITEMS].append(["#", False, False, len(text), min(linked, len(text)), text])
             raw, linked = [], 0
 
+    def close(at: int, ended: bool) -> None:
+        """Closes the elements from place `at` on, the first of them by its own end tag if ended."""
+        nonlocal raw, linked
+        while len(stack) > at:
+            flush()
+            item, tag = stack.pop(), tags.pop()
+            open_[tag] -= 1
+            if tag in _EMBEDDED:
+                raw, linked = before.pop(len(stack))
+                if not ended or len(stack) > at:
+                    flush()
+                    if tag not in _NARROW:
+                        stack[-1][ITEMS].extend(item[ITEMS])
+
     for m in _TOKEN.finditer(source):
         if (text := m[5]) is not None:
             raw.append(text)
@@ -78,22 +101,37 @@ def parse(source: str) -> list:
         if tag in _INLINE:
             links = max(0, links + (-1 if m[2] else 1)) if tag == "a" else links
             continue
+        if tag in _EMBEDDED:
+            if m[2]:
+                if open_[tag]:
+                    close(len(tags) - 1 - tags[::-1].index(tag), True)
+            elif not m[4].endswith("/"):
+                before[len(stack)] = raw, linked
+                raw, linked = [], 0
+                stack.append([tag, False, False, 0, 0, []])
+                tags.append(tag)
+                open_[tag] += 1
+            continue
+        if tag in _BLOCKS and not m[2] and any(open_[x] for x in _NARROW) and not open_["foreignobject"]:
+            close(min(tags.index(x) for x in _NARROW if open_[x]), False)
         flush()
         if tag in _VOID:
             continue
         if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][SIG].partition(".")[0] == tag), 0)
-            if at:
-                del stack[at:]
+            if open_[tag]:
+                close(len(tags) - 1 - tags[::-1].index(tag), True)
                 links = 0
             continue
-        if stack[-1][SIG].partition(".")[0] in ("p", *_CLOSES.get(tag, ())) and tag != "span":
-            stack.pop()
+        if tags[-1] in ("p", *_CLOSES.get(tag, ())):
+            close(len(stack) - 1, True)
         name = _CLASS.search(m[4]) if m[4] else None
         item = [f"{tag}.{name[1].lower()}" if name else tag, False, False, 0, 0, []]
         stack[-1][ITEMS].append(item)
         if not m[4].endswith("/"):
             stack.append(item)
+            tags.append(tag)
+            open_[tag] += 1
+    close(1, False)
     flush()
     return root
 
