@@ -193,3 +193,13 @@ def test_wrapper_embedded(body, said, ahead):
     """Embedded elements that close themselves or have no end tag swallow nothing."""
     source = f"<body>{ahead}<article><h1>Head</h1>{body}</article><footer>End</footer><svg></svg>"
     assert wrappers.extract(wrappers.parse(source), None) == f"Head {said}"
+
+
+@pytest.mark.parametrize("tag", ["div", "ul", "ul><li", "blockquote"])
+def test_wrapper_deep_nesting(spark, tag):
+    """Pages with thousands of open tags, on one host and beside a plain page of it."""
+    said = [f"text {k} is here" for k in range(4000)]
+    deep = "<article>" + "".join(f"<{tag}>{x} " for x in said)
+    rows = [(1, "http://a/1", deep), (2, "http://a/2", deep + "<p>more of it"), (3, "http://a/3", page(3)), (4, "http://b/4", deep)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: " ".join(said), 2: " ".join(said) + " more of it", 3: text(3), 4: " ".join(said)}

@@ -20,7 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,7 +104,7 @@ def parse(source: str) -> list:
         if tag in _EMBEDDED:
             if m[2]:
                 if open_[tag]:
-                    close(len(tags) - 1 - tags[::-1].index(tag), True)
+                    close(next(i for i in range(len(tags) - 1, 0, -1) if tags[i] == tag), True)
             elif not m[4].endswith("/"):
                 before[len(stack)] = raw, linked
                 raw, linked = [], 0
@@ -119,7 +119,7 @@ def parse(source: str) -> list:
             continue
         if m[2]:
             if open_[tag]:
-                close(len(tags) - 1 - tags[::-1].index(tag), True)
+                close(next(i for i in range(len(tags) - 1, 0, -1) if tags[i] == tag), True)
                 links = 0
             continue
         if tags[-1] in ("p", *_CLOSES.get(tag, ())):
@@ -149,15 +149,16 @@ def _copy(page: list, sources: bool = False) -> list:
     return root
 
 
-def _fold(items: list) -> list:
-    """Neighbouring repetitions of one to four items as one repeated item."""
+def _fold(items: list, todo: deque | None = None) -> list:
+    """Neighbouring repetitions of one to four items as one repeated item. What lies below them is merged by `todo`, later."""
+    mine = deque() if todo is None else todo
     for period in (1, 2, 3, 4):
         out, i = [], 0
         while i < len(items):
             group = items[i:i + period]
             j, sigs = i + period, [x[SIG] for x in group]
             while len(group) == period and [x[SIG] for x in items[j:j + period]] == sigs:
-                group = [merge(a, b) for a, b in zip(group, items[j:j + period])]
+                group = [_join(a, b, mine) for a, b in zip(group, items[j:j + period])]
                 j += period
             if j > i + period:
                 if period == 1:
@@ -170,6 +171,8 @@ def _fold(items: list) -> list:
                 out.append(items[i])
                 i += 1
         items = out
+    if todo is None:
+        _finish(mine)
     return items
 
 
@@ -196,18 +199,57 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of what either item matches."""
-    items = []
-    for i, j in align(a[ITEMS], b[ITEMS]):
-        if i is None or j is None:
-            one = a[ITEMS][i] if j is None else b[ITEMS][j]
-            items.append([one[SIG], True, *one[REP:]])
-        else:
-            items.append(merge(a[ITEMS][i], b[ITEMS][j]))
+def _join(a: list, b: list, todo: deque) -> list:
+    """The wrapper of what either item matches, its own items still to be merged."""
     if len(a) > SOURCES:
         a[SOURCES].extend(b[SOURCES])
-    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], _fold(items), *a[SOURCES:]]
+    out = [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], [], *a[SOURCES:]]
+    if a[SIG] != "#":
+        todo.append((out, a, b))
+    return out
+
+
+def _finish(todo: deque) -> None:
+    """Merges in the order of arrival, so that items are whole before others are made of them; nesting needs no recursion."""
+    while todo:
+        out, a, b = todo.popleft()
+        items = []
+        for i, j in align(a[ITEMS], b[ITEMS]):
+            if i is None or j is None:
+                one = a[ITEMS][i] if j is None else b[ITEMS][j]
+                items.append([one[SIG], True, *one[REP:]])
+            else:
+                items.append(_join(a[ITEMS][i], b[ITEMS][j], todo))
+        # In place: an item that became optional meanwhile has the same list.
+        out[ITEMS].extend(_fold(items, todo))
+
+
+def merge(a: list, b: list) -> list:
+    """The wrapper of what either item matches."""
+    todo = deque()
+    out = _join(a, b, todo)
+    _finish(todo)
+    return out
+
+
+def packed(wrapper: list) -> str:
+    """A wrapper as JSON rows [depth, signature, optional, repeated, chars, chars in links] in order."""
+    rows, todo = [], [(0, wrapper)]
+    while todo:
+        depth, item = todo.pop()
+        rows.append([depth, *item[:ITEMS]])
+        todo += [(depth + 1, x) for x in reversed(item[ITEMS])]
+    return json.dumps(rows)
+
+
+def unpacked(rows: str) -> list:
+    path: list[list] = []
+    for depth, *item in json.loads(rows):
+        item.append([])
+        if depth:
+            path[depth - 1][ITEMS].append(item)
+        path[depth:] = [item]
+    return path[0]
 
 
 def _aside(sig: str) -> bool:
@@ -368,13 +410,13 @@ def infer(pages: DataFrame, shares: int = SHARES) -> DataFrame:
         yield rows(held)
 
     def rows(held: dict[str, list]) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(held), "wrapper": [json.dumps(x) for x in held.values()]}, dtype="object")
+        return pd.DataFrame({"host": list(held), "wrapper": [packed(x) for x in held.values()]}, dtype="object")
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for x in sorted(part["wrapper"]):
-            whole = json.loads(x) if whole is None else merge(whole, json.loads(x))
-        return pd.DataFrame({"host": part["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
+            whole = unpacked(x) if whole is None else merge(whole, unpacked(x))
+        return pd.DataFrame({"host": part["host"].iloc[:1], "wrapper": [packed(whole)]})
 
     schema = "host string, wrapper string"
     partial = pages.select(host().alias("host"), "html").mapInPandas(local, schema)
@@ -400,7 +442,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if isinstance(wrapper, str) and wrapper not in ready:
                     if len(ready) >= HELD:
                         ready.clear()
-                    whole = json.loads(wrapper)
+                    whole = unpacked(wrapper)
                     ready[wrapper] = whole, main_block(whole)
                 texts.append(extract(parse(source), *ready.get(wrapper, (None, None))))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
