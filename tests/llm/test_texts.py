@@ -406,3 +406,25 @@ def test_representatives(spark, docs, texts, awkward, empty):
     for i in texts.keys() - left:
         assert any(jaccard(sets[i], sets[j]) >= 0.7 for j in texts if j < i)
     assert len({texts[i] for i in left}) == len(left)
+
+
+def test_representatives_exact(spark):
+    """Pairs just above 0.8 go and pairs just below stay, as brute force over whole shingle sets decides."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], []
+    for k in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(150, 600))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.015, 0.035))), replace=False):
+            other[at] = f"v{rng.integers(0, 10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        pairs.append((k, jaccard(shingles(a), shingles(b))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r.doc_id: r.fp % 2**64 for r in simhash.described(df).collect()}
+    pairs = [(k, s, (fp[2 * k] ^ fp[2 * k + 1]).bit_count()) for k, s in pairs]
+    left = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert all(2 * k in left for k, _, _ in pairs)
+    assert sum(0.75 <= s < 0.8 for _, s, _ in pairs) > 30 and sum(0.8 <= s < 0.85 and bits <= simhash.WIDE for _, s, bits in pairs) > 30
+    wrong = [(s, bits) for k, s, bits in pairs if (2 * k + 1 not in left) != (s >= 0.8 and bits <= simhash.WIDE)]
+    assert not wrong
