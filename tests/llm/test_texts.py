@@ -428,3 +428,10 @@ def test_representatives_exact(spark):
     assert sum(0.75 <= s < 0.8 for _, s, _ in pairs) > 30 and sum(0.8 <= s < 0.85 and bits <= simhash.WIDE for _, s, bits in pairs) > 30
     wrong = [(s, bits) for k, s, bits in pairs if (2 * k + 1 not in left) != (s >= 0.8 and bits <= simhash.WIDE)]
     assert not wrong
+
+
+def test_language_nothing_learned(awkward):
+    """Without any language to learn, documents with letters stay."""
+    kept = langid.accepted(awkward.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == awkward.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-5, 1, 2, 2, 3, 7, 8, 10, 11, 12, 13]

@@ -164,6 +164,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those found to be `und` go."""
-    return predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), learn(docs)) \
-        .filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    """The documents that have a language: those without a letter go. If nothing could be learned, the others stay."""
+    model, rows = learn(docs), docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    if model.langs:
+        return predict(rows, model).filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([isinstance(t, str) and has_letter(t) for t in texts], dtype=bool)
+
+    return rows.filter(F.pandas_udf(run, "boolean")(F.col("text"))).select("_row.*")
