@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, langid, mixing, quality, sharding, simhash, substrings, wrappers
+from . import alignment, ann, bpe, fingerprints, langid, minhash, mixing, quality, runs, sharding, simhash, substrings, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,14 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def token_sides() -> tuple[Callable, Callable]:
+    """How executors open the two tokenizers that the query aligns."""
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return lambda: alignment.byte_level(a), lambda: alignment.pieces(b)
+
+
 _over("documents", "op1_langid", langid.digest)
 _over("documents", "op2_fingerprints", fingerprints.digest)
 _over("documents", "op3_mixing", mixing.digest, mixing.ORACLE)
@@ -36,3 +44,6 @@ QUERIES["op7_quality"] = lambda spark, sf_dir: quality.digest(
 _over("documents", "op8_sharding", sharding.digest)
 _over("documents", "op9_simhash", simhash.digest)
 _over("embeddings", "op10_ann", ann.digest)
+_over("documents", "op11_minhash", minhash.digest)
+_over("documents", "op12_runs", runs.digest)
+_over("documents", "op13_alignment", lambda docs: alignment.counted(docs, *token_sides()))

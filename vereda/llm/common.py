@@ -55,3 +55,8 @@ def words(text: F.Column | str) -> F.Column:
 def text_class(text: F.Column | str) -> F.Column:
     """128 bits naming a text: equal texts have equal names. NULL reads as the empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))
+
+
+def exact_ids(docs: DataFrame, *columns: str | F.Column) -> DataFrame:
+    """doc_id as text beside other columns, for pandas code: whole numbers beside NULLs would become floating point there."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *columns)

@@ -288,7 +288,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _Shingles:
+class Shingles:
     """64-bit hashes of a text's word shingles; the hashes of words are kept from text to text."""
 
     def __init__(self):
@@ -304,6 +304,11 @@ class _Shingles:
             self.known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
+    def distinct(self, text: str | None, size: int) -> np.ndarray:
+        """Ascending distinct hashes of the text's shingles; fewer words than a shingle has: of the whole sequence."""
+        names = self.names(text)
+        return np.unique(self.hashes(names, size)) if len(names) else np.zeros(0, np.uint64)
+
     @staticmethod
     def hashes(names: np.ndarray, size: int) -> np.ndarray:
         n, base = max(1, len(names) - size + 1), np.uint64(0x9E3779B97F4A7C15)
@@ -324,7 +329,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, class, fp (of two-word shingles)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = _Shingles()
+        shingles = Shingles()
         for b in batches:
             prints = []
             for text in b["text"]:
@@ -342,7 +347,7 @@ def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes (class, node, fp, seg) with the whole set of five-word shingles of their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = _Shingles()
+        shingles = Shingles()
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.iloc[at:at + 500]
