@@ -9,9 +9,9 @@ Signatures are cut into bands; a document is named once in the bucket of each of
 places two sets of resemblance 0.8 share no bucket with a probability below 1e-6. Buckets are never written out as pairs:
 
 1. every member of a bucket is linked to the bucket's least member, if whole sets confirm it, and components are formed;
-2. only members of one bucket that lie in different components still need a comparison. Their pairs are formed in tiles
-   (parts of a bucket met with parts), in the JVM, behind a bound on sizes and on one bit per place of the signatures, and
-   are again confirmed on whole sets.
+2. only members of one bucket that lie in different components still need a comparison. Their signatures are compared in
+   tiles (parts of a bucket met with parts). Members with a partner within six deviations of the resemblance meet again
+   with their whole sets; a tile pair gives as many links as connect what is alike, not its pairs.
 
 Components come from rounds of hooking and pointer doubling over stored tables (`simhash.components`).
 
@@ -22,7 +22,7 @@ component; a component of such rows only is named NULL. Other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, exact_ids, text_class
-from .simhash import Shingles, components
+from .simhash import Shingles, components, forest
 
 #: Words of a shingle, least resemblance as a fraction of integers, bands and places of a band.
 SHINGLE, SHARE, WHOLE = 2, 80, 100
 BANDS, PLACES = 60, 7
 #: Places whose lowest bits are compared before sets are, and how many may differ: over six deviations at 0.8.
 BITS, DIFFERING = 256, 57
-#: Bucket members in one tile; elements that one step of signatures handles at a time (memory only).
-TILE, CHUNK = 2048, 1 << 15
+#: Bucket members in one tile, elements of their sets; elements that one step of signatures handles at a time (memory only).
+TILE, TILE_ELEMENTS, CHUNK = 2048, 1 << 20, 1 << 15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -106,7 +106,8 @@ def band_keys(signature: np.ndarray, bands: int, places: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, places: int = PLACES) -> DataFrame:
-    """doc_id, class, n (size of the set), keys (its buckets), bits (one per place, 64 a number): a row per row of docs."""
+    """A row per row of docs: doc_id, class, n (size of the set), keys (its buckets), names (32 bits of each key), places (8 bits
+    of each place of the signature), bits (one of each, 64 a number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
@@ -116,12 +117,14 @@ def described(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, places:
                 sets = [shingles.distinct(t, size) for t in b["text"]]
                 made = signatures(sets, bands * places)
                 bits = np.packbits((made[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                keys = band_keys(made, bands, places)
                 yield pd.DataFrame({
                     "doc_id": b["doc_id"], "class": b["class"], "n": [len(s) for s in sets],
-                    "keys": list(band_keys(made, bands, places)), "bits": list(bits)})
+                    "keys": list(keys), "bits": list(bits), "names": [row.tobytes() for row in keys.astype(np.uint32)],
+                    "places": [row.tobytes() for row in made.astype(np.uint8)]})
 
     rows = exact_ids(docs, text_class("text").alias("class"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInPandas(run, "doc_id string, class binary, n long, keys array<long>, bits array<long>")
+    made = rows.mapInPandas(run, "doc_id string, class binary, n long, keys array<long>, bits array<long>, names binary, places binary")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -172,18 +175,107 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int, whole: int) -> Dat
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInPandas(run, "a long, b long")
 
 
-def _unmet(members: DataFrame, share: int, whole: int, tile: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members (key, node, n, bits, root) of one bucket but different roots, within the bounds."""
-    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("count")).filter("low <> high")
-    rows = members.join(open_.select("key", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("parts")), "key")
+def _tiles(batches: Iterator[pd.DataFrame], solve: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """`solve` on every tile pair of rows sorted by it; one that a batch cuts is carried into the next."""
+    keys = ["key", "lo", "hi"]
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(part):
+            continue
+        key = part[keys].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        found = [solve(part.iloc[i:j]) for i, j in zip(starts, starts[1:])]
+        if found:
+            yield pd.concat(found, ignore_index=True)
+        rest = part.iloc[starts[-1]:]
+    if rest is not None and len(rest):
+        yield solve(rest)
+
+
+def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of the two tiles of a tile pair; twice all rows if a tile meets itself."""
+    if part["lo"].iloc[0] == part["hi"].iloc[0]:
+        return np.arange(len(part)), np.arange(len(part))
+    side = part["side"].to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _near(part: pd.DataFrame, share: int, whole: int) -> pd.DataFrame:
+    """The rows of a tile pair that have a near row of another root: sizes and signatures allow the resemblance.
+
+    Two rows that share buckets of several bands count in the first of them only.
+    """
+    n, root, band = part["n"].to_numpy(), part["root"].to_numpy(), int(part["band"].iloc[0])
+    bits = np.stack(part["bits"].to_list()).view(np.uint64)
+    places = np.frombuffer(b"".join(part["places"]), np.uint8).reshape(len(part), -1)
+    names = np.frombuffer(b"".join(part["names"]), np.uint32).reshape(len(part), -1)[:, :band]
+    share_ = share / whole
+    least = int(places.shape[1] * share_ - 6 * (places.shape[1] * share_ * (1 - share_)) ** 0.5)
+    left, right = _sides(part)
+    flagged = np.zeros(len(part), bool)
+    for at in range(0, len(left), 256):
+        x = left[at:at + 256]
+        far = np.zeros((len(x), len(right)), np.int16)
+        for w in range(bits.shape[1]):
+            far += np.bitwise_count(bits[x, w][:, None] ^ bits[right, w][None, :])
+        smaller, larger = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
+        i, j = np.nonzero((far <= DIFFERING) & (root[x][:, None] != root[right][None, :]) & (smaller * whole >= larger * share))
+        i, j = x[i], right[j]
+        for cut in range(0, len(i), 8192):
+            p, q = i[cut:cut + 8192], j[cut:cut + 8192]
+            good = ((places[p] == places[q]).sum(axis=1) >= least) & ~(names[p] == names[q]).any(axis=1)
+            flagged[p[good]] = flagged[q[good]] = True
+    return part.loc[flagged, ["key", "lo", "hi", "side", "node", "root"]]
+
+
+def _exact(part: pd.DataFrame, share: int, whole: int) -> pd.DataFrame:
+    """Links (a, b) of a tile pair's rows of different roots: as many as connect what whole sets confirm.
+
+    Intersections are counted from the lists of rows that have each element.
+    """
+    node, root = part["node"].to_numpy(), part["root"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in part["set"]]
+    size = np.array([len(x) for x in sets])
+    left, right = _sides(part)
+    held = np.concatenate([sets[j] for j in right])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(right)), size[right])[order]
+    heads, tails = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in left:
+        low, high = np.searchsorted(held, sets[i], "left"), np.searchsorted(held, sets[i], "right")
+        both = np.zeros(len(right), np.int64)
+        for cut in range(0, len(low), CHUNK):
+            a, width = low[cut:cut + CHUNK], (high - low)[cut:cut + CHUNK]
+            spots = np.repeat(a - np.cumsum(width) + width, width) + np.arange(width.sum())
+            both += np.bincount(owner[spots], minlength=len(right))
+        good = (whole * both >= share * (size[i] + size[right] - both)) & (root[i] != root[right])
+        heads.append(np.full(int(good.sum()), i))
+        tails.append(right[good])
+    label = forest(np.concatenate(heads), np.concatenate(tails), len(part))
+    at = np.flatnonzero(label != np.arange(len(part)))
+    a, b = node[label[at]], node[at]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _unmet(shared: DataFrame, nodes: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch, share: int, whole: int, tile: int) -> DataFrame:
+    """Links (a, b), a < b, between members (key, band, node, n) of one bucket whose roots differ, confirmed on whole sets."""
+    members = shared.select("key", "band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = scratch.put("members", members)
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(tile), F.sum("n") / F.lit(TILE_ELEMENTS))).cast("int").alias("parts")
+    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts).filter("low <> high")
+    rows = members.join(open_.select("key", "parts"), "key")
+    # A tile meets itself and every other tile of its bucket.
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    side = lambda x, own, other: [F.col("key"), F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"),
-                                  F.col("root").alias(f"{x}_root"), F.col("own").alias(own), other]
-    # A tile pair is met twice over, so that the lesser node may stand in either part.
-    left = rows.select(*side("a", "lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hi")))
-    right = rows.select(*side("b", "hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lo")))
-    met = left.join(right, ["key", "lo", "hi"]).filter("a < b AND a_root <> b_root")
-    return met.filter(_sized("a_n", "b_n", share, whole) & _bits("a_bits", "b_bits")).select("a", "b").distinct()
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["key", "lo", "hi"]
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+                       "band", "node", "n", "root")
+    signed = rows.join(nodes.select("node", "bits", "places", "names"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    flagged = signed.mapInPandas(lambda it: _tiles(it, lambda x: _near(x, share, whole)), "key long, lo int, hi int, side int, node long, root long")
+    flagged = scratch.put("flagged", flagged)
+    filled = flagged.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    return filled.mapInPandas(lambda it: _tiles(it, lambda x: _exact(x, share, whole)), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, share: int = SHARE, whole: int = WHOLE, bands: int = BANDS,
@@ -194,9 +286,10 @@ def linked(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, share: int =
     first_id: the least doc_id with the text.
     """
     made = described(docs, size, bands, places)
-    nodes = made.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    nodes = made.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"),
+                                      F.first("names").alias("names"), F.first("places").alias("places"))
     nodes = scratch.put("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.filter("n > 0").select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    banded = nodes.filter("n > 0").select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("band", "key"))
     leads = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("count")).filter("count > 1")
     shared = banded.join(leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key")
     shared = scratch.put("shared", shared)
@@ -210,11 +303,8 @@ def linked(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, share: int =
     sets = scratch.put("sets", _sets(docs, nodes.select("node", "class", "first_id").join(named, "node"), size))
     links = scratch.put("links", _confirmed(stars, sets, share, whole))
     roots = components(links, scratch, "near")
-    members = shared.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    members = scratch.put("members", members.join(nodes.select("node", "bits"), "node"))
-    rest = scratch.put("rest", _unmet(members, share, whole, tile).join(stars, ["a", "b"], "left_anti"))
-    more = scratch.put("more", _confirmed(rest, sets, share, whole))
-    scratch.drop("shared", "members", "sets", "rest", "stars")
+    more = scratch.put("more", _unmet(shared, nodes, roots, sets, scratch, share, whole, tile))
+    scratch.drop("shared", "members", "flagged", "sets", "stars")
     if not more.isEmpty():
         joined = roots.filter("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).union(more)
         roots = components(joined.distinct(), scratch, "far")

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest member reachable from each of n members over the links a-b."""
     label = np.arange(n)
     while len(a):
@@ -118,9 +118,9 @@ class _Sets:
 
 
 def _spanning(i: np.ndarray, j: np.ndarray, n: int, sets: _Sets | None, start: int) -> np.ndarray:
-    """_forest over the pairs, or over those whose sets (from place start on) are alike; pairs already connected are not looked at."""
+    """forest over the pairs, or over those whose sets (from place start on) are alike; pairs already connected are not looked at."""
     if sets is None:
-        return _forest(i, j, n)
+        return forest(i, j, n)
     label, good_i, good_j = np.arange(n), np.zeros(0, int), np.zeros(0, int)
     while len(i):
         apart = label[i] != label[j]
@@ -128,7 +128,7 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int, sets: _Sets | None, start: i
         _, now = np.unique(i, return_index=True)
         alike = sets.alike(start + i[now], start + j[now])
         good_i, good_j = np.r_[good_i, i[now[alike]]], np.r_[good_j, j[now[alike]]]
-        label = _forest(good_i, good_j, n)
+        label = forest(good_i, good_j, n)
         i, j = np.delete(i, now), np.delete(j, now)
     return label
 
