@@ -283,3 +283,14 @@ def test_merge_path_pieces_find_all_common_ends(piece):
         cut_a, cut_b = alignment.diagonal_splits(a, b, piece)
         assert (np.diff(cut_a) >= 0).all() and (np.diff(cut_b) >= 0).all()
         assert (np.diff(cut_a) + np.diff(cut_b) <= piece + 1).all()
+
+
+def test_both_encoders_agree(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fast, tokens = alignment.byte_level(path, public_tokenizers.PATTERN)
+    slow, same = alignment.byte_level(path)
+    texts = [r.text for r in docs.limit(60).collect()] + [
+        "<|endoftext|> it's  we'LL　x​ y \n\n z", "é à 日本語 😀 ١٢٣ " * 30, "a" * 5000, " " * 3000 + "x", "😀" * 900, "_" * 200_000]
+    assert tokens == same and fast(texts) == slow(texts)

@@ -29,8 +29,8 @@ def token_sides() -> tuple[Callable, Callable]:
     """How executors open the two tokenizers that the query aligns."""
     import public_tokenizers
 
-    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return lambda: alignment.byte_level(a), lambda: alignment.pieces(b)
+    a, b, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    return lambda: alignment.byte_level(a, pattern), lambda: alignment.pieces(b)
 
 
 _over("documents", "op1_langid", langid.digest)
