@@ -203,3 +203,16 @@ def test_wrapper_deep_nesting(spark, tag):
     rows = [(1, "http://a/1", deep), (2, "http://a/2", deep + "<p>more of it"), (3, "http://a/3", page(3)), (4, "http://b/4", deep)]
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: " ".join(said), 2: " ".join(said) + " more of it", 3: text(3), 4: " ".join(said)}
+
+
+def test_neighbours_of_very_large_and_tiny_vectors(spark):
+    """Any finite size of a vector gives the same cosines."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 8))
+    size = np.array([1e200, 1e-200, 1.0, 1e307, 1e-300])
+    rows = [(k, (base[k] * size[k % 5]).tolist()) for k in range(60)]
+    got = ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), step=5).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for r in got:
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-9
+    assert len(got) == 12 * 5

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_rows
-from vereda.llm import bpe, catalog, fingerprints, langid, mixing, quality, sharding, simhash, substrings
+from vereda.llm import bpe, catalog, fingerprints, langid, mixing, nearcopies, quality, sharding, simhash, substrings
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -395,13 +395,13 @@ def test_representatives(spark, docs, texts, awkward, empty):
     near = base.replace(base.split()[150], "changed", 1)
     far = " ".join(f"v{k}" for k in rng.integers(0, 5000, 300))
     rows = spark.createDataFrame([(5, base), (9, near), (7, far), (8, far), (11, base)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.representatives(rows).collect()) == [5, 7]
-    kept = simhash.representatives(awkward)
+    assert sorted(r.doc_id for r in nearcopies.representatives(rows).collect()) == [5, 7]
+    kept = nearcopies.representatives(awkward)
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and 1 in ids and 2 not in ids and len(ids) == len(set(ids)) + 1
-    assert simhash.representatives(empty).count() == 0
-    left = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert nearcopies.representatives(empty).count() == 0
+    left = {r.doc_id for r in nearcopies.representatives(docs).collect()}
     sets = {i: shingles(t.lower()) for i, t in texts.items()}
     for i in texts.keys() - left:
         assert any(jaccard(sets[i], sets[j]) >= 0.7 for j in texts if j < i)
@@ -409,11 +409,11 @@ def test_representatives(spark, docs, texts, awkward, empty):
 
 
 def test_representatives_exact(spark):
-    """Pairs just above 0.8 go and pairs just below stay, as brute force over whole shingle sets decides."""
+    """Pairs just above 0.8 go and pairs just below stay, however far their fingerprints are, as brute force decides."""
     rng = np.random.default_rng(11)
     rows, pairs = [], []
     for k in range(400):
-        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(150, 600))]
+        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(30, 600))]
         other = list(words)
         for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.015, 0.035))), replace=False):
             other[at] = f"v{rng.integers(0, 10**6)}"
@@ -423,11 +423,19 @@ def test_representatives_exact(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     fp = {r.doc_id: r.fp % 2**64 for r in simhash.described(df).collect()}
     pairs = [(k, s, (fp[2 * k] ^ fp[2 * k + 1]).bit_count()) for k, s in pairs]
-    left = {r.doc_id for r in simhash.representatives(df).collect()}
+    left = {r.doc_id for r in nearcopies.representatives(df).collect()}
     assert all(2 * k in left for k, _, _ in pairs)
-    assert sum(0.75 <= s < 0.8 for _, s, _ in pairs) > 30 and sum(0.8 <= s < 0.85 and bits <= simhash.WIDE for _, s, bits in pairs) > 30
-    wrong = [(s, bits) for k, s, bits in pairs if (2 * k + 1 not in left) != (s >= 0.8 and bits <= simhash.WIDE)]
-    assert not wrong
+    assert sum(0.75 <= s < 0.8 for _, s, _ in pairs) > 30 and sum(0.8 <= s < 0.85 for _, s, _ in pairs) > 30
+    assert sum(s >= 0.8 and bits > 9 for _, s, bits in pairs) >= 3
+    assert not [(s, bits) for k, s, bits in pairs if (2 * k + 1 not in left) != (s >= 0.8)]
+
+
+def test_representatives_of_repeated_ids(spark):
+    """No text goes because another text has its id."""
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(3))
+    rows = spark.createDataFrame([(1, a), (1, b), (5, b), (2, c), (2, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in nearcopies.representatives(rows).collect()) == sorted([(1, a), (1, b), (2, c)])
 
 
 def test_language_nothing_learned(awkward):

@@ -166,8 +166,13 @@ def usable(rows: DataFrame) -> DataFrame:
     return found.filter(~bad & F.exists("vec", lambda x: x != 0))
 
 
+def _scaled(vec: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, exact but for underflow, so that the greatest component is about one."""
+    return np.ldexp(vec, -np.frexp(np.abs(vec).max(1, keepdims=True))[1])
+
+
 def _unit(vec: np.ndarray) -> np.ndarray:
-    scaled = vec / np.abs(vec).max(1, keepdims=True)
+    scaled = _scaled(vec)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
@@ -177,9 +182,11 @@ def _search(shard: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd
     if len(shard) and len(queries):
         vec = np.frombuffer(shard["vecs"].iloc[0]).reshape(shard["n"].iloc[0], -1)
         ids = np.frombuffer(shard["ids"].iloc[0], np.int64).reshape(len(vec), -1)
-        graph, length = Graph.load(shard["graph"].iloc[0], _unit(vec)), np.sqrt((vec * vec).sum(1))
+        # Scaled by their greatest component, so that no square of a finite vector overflows or vanishes.
+        graph, vec = Graph.load(shard["graph"].iloc[0], _unit(vec)), _scaled(vec)
+        length = np.sqrt((vec * vec).sum(1))
         mine = np.stack(queries["vec"].to_numpy())
-        for query_id, q, u in zip(queries["query_id"], mine, _unit(mine).astype(np.float32)):
+        for query_id, q, u in zip(queries["query_id"], _scaled(mine), _unit(mine).astype(np.float32)):
             found = np.array(graph.search(u, beam))
             score = (vec[found] * q).sum(1) / (length[found] * math.sqrt((q * q).sum()))
             own = [(-s, i) for s, line in zip(score.tolist(), ids[found].tolist()) for i in line if i >= 0 and i != query_id]

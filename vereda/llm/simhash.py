@@ -28,10 +28,6 @@ RADIUS = 2
 SHINGLE = 3
 #: Fingerprints in a tile. A tile pair holds a matrix of 256 rows by this many columns at a time.
 TILE = 2048
-#: Near copies for `representatives`: similarity of five-word shingles, bits between fingerprints.
-SIMILARITY, WIDE, WIDE_TILE, SET_TILE = 0.8, 9, 8192, 1024
-#: Pairs whose SKETCH least hashes estimate this much less than the similarity are refused unseen: over five deviations.
-SKETCH, SLACK = 128, 0.2
 _SLICE = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -81,58 +77,6 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated resemblance of sketches, row by row: the share of common values among the least of their union.
-
-    A sketch is a row of ascending distinct values, filled up with the largest one.
-    """
-    k, full = a.shape[1], np.iinfo(a.dtype).max
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    twice = np.zeros(both.shape, bool)
-    twice[:, 1:] = both[:, 1:] == both[:, :-1]
-    real = both != full
-    rank = np.cumsum(~twice & real, axis=1)
-    among = real & (rank <= k)
-    return (twice & among).sum(1) / np.maximum(np.minimum(rank[:, -1], k), 1)
-
-
-class _Sets:
-    """Shingle sets, each the bytes of its ascending distinct 64-bit hashes."""
-
-    def __init__(self, rows: list[bytes], least: float):
-        self.rows, self.least = [np.frombuffer(x, np.uint64) for x in rows], least
-        self.heads = np.full((len(rows), SKETCH), np.iinfo(np.uint64).max, np.uint64)
-        for head, x in zip(self.heads, self.rows):
-            head[:min(SKETCH, len(x))] = x[:SKETCH]
-
-    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the sets of each pair have the similarity; the heads only spare the comparison of what is far apart."""
-        out = np.zeros(len(i), bool)
-        for at in range(0, len(i), 4096):
-            a, b = i[at:at + 4096], j[at:at + 4096]
-            for k in np.flatnonzero(_common(self.heads[a], self.heads[b]) >= self.least - SLACK):
-                x, y = self.rows[a[k]], self.rows[b[k]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[at + k] = both >= self.least * (len(x) + len(y) - both) - 1e-9
-        return out
-
-
-def _spanning(i: np.ndarray, j: np.ndarray, n: int, sets: _Sets | None, start: int) -> np.ndarray:
-    """forest over the pairs, or over those whose sets (from place start on) are alike; pairs already connected are not looked at."""
-    if sets is None:
-        return forest(i, j, n)
-    label, good_i, good_j = np.arange(n), np.zeros(0, int), np.zeros(0, int)
-    while len(i):
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        _, now = np.unique(i, return_index=True)
-        alike = sets.alike(start + i[now], start + j[now])
-        good_i, good_j = np.r_[good_i, i[now[alike]]], np.r_[good_j, j[now[alike]]]
-        label = forest(good_i, good_j, n)
-        i, j = np.delete(i, now), np.delete(j, now)
-    return label
-
-
 def _pairs(fp: np.ndarray, pop: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the radius between two lists that rise in population count; tiles of other counts are skipped."""
     heads, tails = [], []
@@ -149,7 +93,7 @@ def _pairs(fp: np.ndarray, pop: np.ndarray, left: np.ndarray, right: np.ndarray,
     return np.concatenate([*heads, np.zeros(0, int)]), np.concatenate([*tails, np.zeros(0, int)])
 
 
-def _compare(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Links among rows sorted by tile pair; a tile pair that a batch cuts is carried into the next."""
     rest: pd.DataFrame | None = None
 
@@ -160,22 +104,19 @@ def _compare(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iter
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(fp)])
         group = np.repeat(np.arange(len(starts)), sizes)
-        sets = _Sets(part["set"].tolist(), least) if least > 0 else None
         heads, tails = [np.zeros(0, int)], [np.zeros(0, int)]
         # Small tile pairs together: each row against the one d places on.
         small = sizes <= 32
         for d in range(1, int(sizes[small].max(initial=1))):
             i = np.flatnonzero((group[d:] == group[:-d]) & small[group[:-d]])
             i = i[(np.abs(pop[i] - pop[i + d]) <= radius) & (np.bitwise_count(fp[i] ^ fp[i + d]) <= radius)]
-            if sets is not None and len(i):
-                i = i[sets.alike(i, i + d)]
             heads.append(i)
             tails.append(i + d)
         for g in np.flatnonzero(~small):
             s = slice(starts[g], starts[g] + sizes[g])
             left, right = np.flatnonzero(side[s] == 0), np.flatnonzero(side[s] == 1)
             i, j = _pairs(fp[s], pop[s], left, right if len(right) or key[starts[g], 1] != key[starts[g], 2] else left, radius)
-            label = _spanning(i, j, int(sizes[g]), sets, starts[g])
+            label = forest(i, j, int(sizes[g]))
             at = np.flatnonzero(label != np.arange(sizes[g]))
             heads.append(starts[g] + label[at])
             tails.append(starts[g] + at)
@@ -196,26 +137,18 @@ def _compare(batches: Iterator[pd.DataFrame], radius: int, least: float) -> Iter
         yield links(rest)
 
 
-def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, least: float = 0.0) -> DataFrame:
-    """(a, b) with a < b: links among nodes (node, fp) that connect what the radius connects.
-
-    least: the similarity that the sets of a link must have besides. Nodes then have a `set` and, as `seg`, a group that
-    holds all they can be linked with.
-    """
+def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b) with a < b: links among nodes (node, fp) that connect what the radius connects."""
     n = radius + 1
     pop = F.bit_count("fp").cast("int")
-    if least > 0:
-        payload = ["node", "fp", "pop", "set"]
-        spread = nodes.withColumn("pop", pop).select(*payload, "seg")
-    else:
-        width = [64 // n + (i < 64 % n) for i in range(n)]
-        segments = []
-        for i, w in enumerate(width):
-            value = F.shiftrightunsigned("fp", 64 - sum(width[:i + 1])).bitwiseAND(F.lit((1 << w) - 1))
-            segments.append(F.struct(F.lit(i).alias("no"), value.alias("value")))
-        payload = ["node", "fp", "pop"]
-        spread = nodes.withColumn("pop", pop).select(*payload, F.explode(F.array(*segments)).alias("s"))
-        spread = spread.select(*payload, (F.col("s.value") * n + F.col("s.no")).alias("seg"))
+    width = [64 // n + (i < 64 % n) for i in range(n)]
+    segments = []
+    for i, w in enumerate(width):
+        value = F.shiftrightunsigned("fp", 64 - sum(width[:i + 1])).bitwiseAND(F.lit((1 << w) - 1))
+        segments.append(F.struct(F.lit(i).alias("no"), value.alias("value")))
+    payload = ["node", "fp", "pop"]
+    spread = nodes.withColumn("pop", pop).select(*payload, F.explode(F.array(*segments)).alias("s"))
+    spread = spread.select(*payload, (F.col("s.value") * n + F.col("s.no")).alias("seg"))
     # Stored, so that the join below reads two plain exchanges, whose large partitions Spark can split.
     sizes = scratch.put("sizes", spread.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
@@ -232,7 +165,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int =
                        (F.col("own") > F.col("other")).cast("int").alias("side"))
     keys = ["seg", "lo", "hi"]
     pairs = small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys, "side", "pop")
-    return pairs.drop("pop").mapInPandas(lambda it: _compare(it, radius, least), "a long, b long").distinct()
+    return pairs.drop("pop").mapInPandas(lambda it: _compare(it, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
@@ -341,48 +274,3 @@ def described(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "class": b["class"], "fp": prints})
 
     return _classed(docs).mapInPandas(run, "doc_id long, class binary, fp long")
-
-
-def with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nodes (class, node, fp, seg) with the whole set of five-word shingles of their texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at:at + 500]
-                sets = [np.unique(shingles.hashes(shingles.names(t), 5)).tobytes() for t in part["text"]]
-                yield pd.DataFrame({"node": part["node"], "fp": part["fp"], "seg": part["seg"], "set": sets})
-
-    rows = _classed(docs).join(nodes.withColumnRenamed("node", "doc_id"), ["class", "doc_id"])
-    return rows.withColumnRenamed("doc_id", "node").select("node", "fp", "seg", "text").mapInPandas(run, "node long, fp long, seg long, set binary")
-
-
-def representatives(docs: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
-    """One document of each group of near copies, that of the least id, with the columns of docs.
-
-    Near copies share at least `similarity` of their five-word shingles, counted on the whole sets, and have fingerprints
-    within the radius. The tiled comparison with a wide radius first finds the groups of fingerprints that it connects, and
-    then, within each group, the pairs whose sets are alike as well. Equal texts are one node throughout. Pairs that are as
-    similar but whose fingerprints differ in more bits than the radius are not found.
-
-    Of rows that repeat the least id one stays. Rows without an id are kept.
-    """
-    scratch = Scratch(docs.sparkSession, "representatives")
-    nodes = described(docs).groupBy("class").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
-    nodes = scratch.put("nodes", nodes)
-    prints = scratch.put("prints", nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    met = components(links(prints.select(F.col("fp").alias("node"), "fp"), scratch, radius, WIDE_TILE), scratch, "met")
-    alone = prints.filter("n > 1").select("fp", F.col("fp").alias("seg"))
-    met = met.select(F.col("node").alias("fp"), F.col("root").alias("seg")).union(alone.join(met, alone["fp"] == met["node"], "left_anti"))
-    close = scratch.put("close", with_sets(docs, nodes.join(scratch.put("groups", met), "fp").select("class", "node", "fp", "seg")))
-    roots = components(links(close, scratch, radius, SET_TILE, similarity).filter("a <> b"), scratch)
-    firsts = roots.groupBy("root").agg(F.min("node").alias("first"))
-    later = roots.join(firsts, "root").filter("node <> first").select("node")
-    kept = scratch.put("kept", nodes.select("node").distinct().join(scratch.put("later", later), "node", "left_anti"))
-    scratch.drop("nodes", "prints", "close", "groups", "later")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    found = rows.join(kept, F.col("_id") == F.col("node"))
-    if not rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("_id IS NOT NULL AND n > 1").isEmpty():
-        found = found.dropDuplicates(["_id"])
-    return found.select("_row").unionByName(rows.filter("_id IS NULL").select("_row")).select("_row.*")
