@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vereda.llm import bpe, catalog, langid, mixing, simhash, substrings
+from vereda.llm import bpe, catalog, langid, mixing, nearcopies, substrings
 from vereda.llm.common import Scratch
 
 
@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id."""
-    return simhash.representatives(docs)
+    return nearcopies.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
