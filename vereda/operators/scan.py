@@ -57,6 +57,21 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], hit: Column,
             .drop("__block", "__h", "__local", "__before"))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, block: Column) -> DataFrame:
+    """`out` = sum of `value` at or before each row of its key; NULL values add nothing."""
+    b = df.withColumn("__block", block).withColumn("__h", F.coalesce(value, F.lit(0)))
+    inside = (Window.partitionBy(*keys, "__block").orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = b.withColumn("__local", F.sum("__h").over(inside))
+    sums = b.groupBy(*keys, "__block").agg(F.sum("__h").alias("__s"))
+    across = (Window.partitionBy(*keys).orderBy("__block")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(across), F.lit(0))).drop("__s")
+    return (_with_block(local, before, keys)
+            .withColumn(out, F.col("__local") + F.col("__before"))
+            .drop("__block", "__h", "__local", "__before"))
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, block: Column) -> DataFrame:
     """`out` = `value` of the preceding row of the same key (NULL on the first)."""
     b = df.withColumn("__block", block).withColumn("__v", F.struct(value.alias("v")))
