@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .. import session
 from . import scan
 
+#: Fixed value: what stands between name and role of a team entry.
+MEMBER_MARK = " — "
+
 
 def distinct_arrays(base: DataFrame, key: str, parts: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Left-join sorted arrays of distinct non-NULL values; no match gives [].
@@ -134,6 +137,17 @@ def projects_of_people(people: DataFrame, projects: DataFrame, members: DataFram
             .unionByName(member.select("question", "project", F.lit("membro").alias("role"))))
 
 
+def team_members(projects: DataFrame, people: DataFrame, project: str = "project", team: str = "team") -> DataFrame:
+    """(project, person): the people whose name is the upper-cased first part of a team entry "name — role".
+
+    people: person, name. Entries are split before they meet the names; several people of one name are all members, one
+    entry met twice counts once. NULL entries, empty teams and NULL names match nothing.
+    """
+    entries = projects.select(F.col(project).alias("project"), F.explode(team).alias("entry"))
+    named = entries.select("project", F.upper(F.substring_index("entry", MEMBER_MARK, 1)).alias("name")).distinct()
+    return named.join(people.select("person", F.upper("name").alias("name")), "name").select("project", "person").distinct()
+
+
 def dossier(sections: list[tuple[str, DataFrame, str, Column, list[Column], int | None]]) -> DataFrame:
     """Long frame (key, section, ord, payload) from (name, frame, key, payload, order, limit)."""
     parts = []
