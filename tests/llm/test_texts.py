@@ -280,6 +280,41 @@ def test_quality_awkward(spark, awkward, empty):
     assert quality.digest(empty, labels.limit(0)).count() == 0
 
 
+def test_quality_of_a_fully_labelled_table(spark):
+    rows = [(i, (" ".join(f"word{(i * 7 + k * 3) % 97}" for k in range(40)) + ".") if i % 4 else "BUY!! NOW!! " * 15) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    got = quality.digest(docs, labels).collect()
+    assert min(r.score for r in got if r.doc_id % 4) > max(r.score for r in got if r.doc_id % 4 == 0)
+
+
+@pytest.mark.parametrize("prior", [None, 0.2, 0.9])
+def test_quality_descends_the_stated_risk(prior):
+    """Adam along finite differences of the risk, written out, on the same draws."""
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(0.6, 1, (40, 3)), rng.normal(0, 1, (70, 3))
+
+    def loss(z, y):
+        return np.mean([math.log1p(math.exp(-y * x)) for x in z])
+
+    def risk(w, a, b):
+        za, zb = a @ w[:3] + w[3], b @ w[:3] + w[3]
+        if prior is None:
+            return loss(za, 1) + loss(zb, -1)
+        negative = loss(zb, -1) - prior * loss(za, -1)
+        return prior * loss(za, 1) + negative if negative >= 0 else -negative
+
+    draws, w, m, v, steps = np.random.default_rng(5), np.zeros(4), np.zeros(4), np.zeros(4), 12
+    for step in range(1, steps + 1):
+        a, b = p[draws.integers(0, 40, 256)], u[draws.integers(0, 70, 512)]
+        slope = np.array([(risk(w + e, a, b) - risk(w - e, a, b)) / 2e-6 for e in np.eye(4) * 1e-6])
+        slope[:3] += 1e-3 * w[:3]
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
+        w = w - 0.02 / (1 + 3 * step / steps) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    got, bias = quality._descend(p, u, prior, 5, steps)
+    assert np.allclose([*got, bias], w, atol=1e-5)
+
+
 # --- sharding ------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """A quality classifier from positives and unlabelled text: non-negative positive-unlabelled learning.
 
-Trusted positives are the labelled good documents; everything else learned from is unlabelled web text. A linear model
+Trusted positives are the labelled good documents; all learning rows, whatever their label, stand for unlabelled web text. A linear model
 over language-independent features (frequencies of character class trigrams, repetition) minimises the non-negative
 unbiased risk  pi R_p+ + max(0, R_u- - pi R_p-)  under the logistic loss: where the estimated negative risk falls below
 zero the step is reversed, as the estimator then overfits. The class prior pi is itself estimated: a first classifier
@@ -10,7 +10,7 @@ margin, bounds the share of positives among the unlabelled (best bin estimation)
 The model is fitted on a bounded sample (FIT_POSITIVES and FIT_UNLABELLED rows, those of least hash); every text is scored whole.
 
 Edge cases: a NULL text scores like the empty one. Without positives or unlabelled rows every score is 0.5. Labels that
-are NULL, contradict each other or belong to no document are not used. NULL ids are scored and not held out, repeated
+are NULL or belong to no document are not used; a document with both labels is no positive. NULL ids are scored and not held out, repeated
 rows are separate rows, other columns are ignored.
 """
 
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, un
     told = told.agg(F.min("quality").alias("least"))
     order = F.xxhash64("doc_id", F.lit("fit"))
     good = told.filter("least = 1").select("doc_id", F.lit(1).alias("good")).orderBy(order, "doc_id").limit(positives)
-    other = ids.join(told, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("good")).orderBy(order, "doc_id").limit(unlabelled)
+    other = ids.distinct().select("doc_id", F.lit(0).alias("good")).orderBy(order, "doc_id").limit(unlabelled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
