@@ -25,18 +25,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, so that lost executors cost no recomputation.
 
-    `put` writes and rereads a table under a tag; `drop` deletes one as soon as a later table replaces it.
+    `put` writes and rereads a table under a tag; `drop` deletes one as soon as a later table replaces it. batch: most rows of
+    an Arrow batch while a table is written, None for the session's value; it bounds memory, not results.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, batch: int | None = None):
+        self.spark, self.batch = spark, batch
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, tag: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{tag}")
+        before = self.spark.conf.get(_BATCH)
+        try:
+            if self.batch is not None:
+                self.spark.conf.set(_BATCH, min(self.batch, int(before)) if int(before) > 0 else self.batch)
+            df.write.mode("overwrite").parquet(f"{self.root}/{tag}")
+        finally:
+            self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{tag}")
 
     def drop(self, *tags: str) -> None:

@@ -20,6 +20,8 @@ from .common import Scratch, text_class
 
 #: Words of a shingle, bits between the fingerprints (of two-word shingles) that the tiles propose.
 SHINGLE, RADIUS = 5, 3
+#: Rows of an Arrow batch: rows carry whole texts or whole sets, two of them where a link is confirmed.
+BATCH = 1_000
 
 
 def proposals(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
@@ -39,7 +41,7 @@ def representatives(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     Near copies share at least 0.8 of their shingles. Of several texts or rows under a group's least id one stays. A group
     without any id, and rows without an id, stay as they are.
     """
-    scratch = Scratch(docs.sparkSession, "nearcopies")
+    scratch = Scratch(docs.sparkSession, "nearcopies", BATCH)
     found = minhash.linked(docs, scratch, size, proposed=proposals(docs, scratch, radius), **how)
     scratch.drop("prints", "heads", "proposed")
     first = found.filter("first_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("first_id", "class")).alias("first"))
