@@ -236,37 +236,53 @@ def section_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap
 
 
 def facets(df: DataFrame, key: str, *, scope: Column, title: Column, text: Column,
-           url: Column | None = None, min_chars: int = MIN_FACET) -> DataFrame:
-    """Facet rows: title repeated on each piece; scopes 's', 's#2', 's#3'..."""
+           url: Column | None = None, min_chars: int = MIN_FACET, metadata: Column | None = None) -> DataFrame:
+    """Facet rows: title repeated on each piece; scopes 's', 's#2', 's#3'...
+
+    metadata, a map of texts, is kept on each piece with its number and the number of pieces.
+    """
+    carried = [] if metadata is None else [metadata.alias("metadata")]
     pieces = df.select(F.col(key).alias("key"), scope.alias("scope"), title.alias("title"),
-                       (url if url is not None else F.lit(None).cast("string")).alias("url"),
+                       (url if url is not None else F.lit(None).cast("string")).alias("url"), *carried,
                        F.when(F.length(T.strip(text)) >= min_chars, char_windows(text)).alias("pieces"))
     rows = pieces.filter(F.col("pieces").isNotNull()).withColumn("n", F.size("pieces")).select(
-        "key", "scope", "title", "url", "n", F.posexplode("pieces").alias("pos", "piece"))
+        "key", "scope", "title", "url", "n", *_named(carried), F.posexplode("pieces").alias("pos", "piece"))
+    place = F.create_map(F.lit("chunk"), (F.col("pos") + 1).cast("string"), F.lit("chunks"), F.col("n").cast("string"))
     head = F.when(F.col("n") > 1, F.format_string("%s (parte %d/%d)", "title", F.col("pos") + 1, "n")).otherwise(F.col("title"))
     numbered = F.when(F.col("pos") == 0, F.col("scope")).otherwise(
         F.concat("scope", F.lit("#"), (F.col("pos") + 1).cast("string")))
     return rows.select("key", numbered.alias("scope"), "title", "url",
                        F.concat(head, F.lit("\n"), "piece").alias("text"),
-                       (F.col("pos") + 1).alias("chunk"), F.col("n").alias("chunks"))
+                       (F.col("pos") + 1).alias("chunk"), F.col("n").alias("chunks"),
+                       *[F.map_concat(m, place).alias(m) for m in _named(carried)])
+
+
+def _named(carried: list) -> list[str]:
+    return ["metadata"] if carried else []
 
 
 def portal_facets(df: DataFrame, key: str, *, scope: Column, title: Column, text: Column,
-                  url: Column | None = None, min_chars: int = MIN_PORTAL_FACET) -> DataFrame:
-    """Facet rows: the text's own header is repeated; scopes 's' or 's#0', 's#1'..."""
+                  url: Column | None = None, min_chars: int = MIN_PORTAL_FACET, metadata: Column | None = None) -> DataFrame:
+    """Facet rows: the text's own header is repeated; scopes 's' or 's#0', 's#1'...
+
+    metadata, a map of texts, is kept on each piece, with its number if there are several.
+    """
+    carried = [] if metadata is None else [metadata.alias("metadata")]
     whole = T.strip(F.coalesce(text, F.lit("")))
     pieces = df.select(F.col(key).alias("key"), scope.alias("scope"), title.alias("title"),
-                       (url if url is not None else F.lit(None).cast("string")).alias("url"),
+                       (url if url is not None else F.lit(None).cast("string")).alias("url"), *carried,
                        F.left(F.split_part(whole, F.lit("\n\n"), F.lit(1)), F.lit(400)).alias("head"),
                        F.when(F.length(whole) >= min_chars, char_windows(whole)).alias("pieces"))
     rows = pieces.filter(F.col("pieces").isNotNull()).withColumn("n", F.size("pieces")).select(
-        "key", "scope", "title", "url", "n", "head", F.posexplode("pieces").alias("pos", "piece"))
+        "key", "scope", "title", "url", "n", "head", *_named(carried), F.posexplode("pieces").alias("pos", "piece"))
+    place = F.create_map(F.lit("chunk"), F.col("pos").cast("string"))
     body = F.when(F.col("pos") == 0, F.col("piece")).otherwise(
         F.format_string("%s\n(continuação %d)\n%s", "head", F.col("pos") + 1, "piece"))
     numbered = F.when(F.col("n") == 1, F.col("scope")).otherwise(
         F.concat("scope", F.lit("#"), F.col("pos").cast("string")))
     return rows.select("key", numbered.alias("scope"), "title", "url", body.alias("text"),
-                       F.col("pos").alias("chunk"), F.col("n").alias("chunks"))
+                       F.col("pos").alias("chunk"), F.col("n").alias("chunks"),
+                       *[F.when(F.col("n") > 1, F.map_concat(m, place)).otherwise(F.col(m)).alias(m) for m in _named(carried)])
 
 
 def scope_family(scope) -> Column:
