@@ -161,15 +161,20 @@ def staff(t: Tables) -> DataFrame:
         T.labelled("Regime", "regime_jornada"), ended, T.labelled("Professor(a) dos cursos de Computação", F.array_join("cursos", ", ")),
         T.labelled("Áreas de atuação", F.array_join("areas", "; ")))
 
-    def cut(scope: str, suffix: str | None, text: Column, meta: Column = F.col("meta")) -> DataFrame:
-        title = F.concat(F.col("label"), F.lit(f" — {suffix}")) if suffix else F.col("label")
-        return chunk.facets(s, "servidor_id", scope=F.lit(scope), title=title, text=text, url=F.col("url"), metadata=meta)
-
     listed = F.array_join(F.transform("areas", lambda a: F.concat(F.lit("  - "), a)), "\n")
     led_by = F.map_concat("meta", F.create_map(F.lit("n_projetos"), F.coalesce(F.size("projetos"), F.lit(0)).cast("string")))
-    return _tag("servidor", cut("ficha", None, card), cut("curriculo_resumo", "Resumo do currículo", F.col("curriculo_resumo")),
-                cut("areas_atuacao", "Áreas de atuação e pesquisa", listed), cut("formacao", "Formação acadêmica", F.col("formacao")),
-                cut("projetos", "Projetos vigentes", F.array_join("projetos", "\n"), led_by))
+
+    def part(scope: str, suffix: str | None, text: Column, meta: Column = F.col("meta")) -> Column:
+        title = F.concat(F.col("label"), F.lit(f" — {suffix}")) if suffix else F.col("label")
+        return F.struct(F.lit(scope).alias("scope"), title.alias("title"), text.alias("text"), meta.alias("meta"))
+
+    # The joins of a person are read once, whatever the number of texts made of them.
+    parts = F.array(part("ficha", None, card), part("curriculo_resumo", "Resumo do currículo", F.col("curriculo_resumo")),
+                    part("areas_atuacao", "Áreas de atuação e pesquisa", listed), part("formacao", "Formação acadêmica", F.col("formacao")),
+                    part("projetos", "Projetos vigentes", F.array_join("projetos", "\n"), led_by))
+    each = s.select("servidor_id", "url", F.explode(parts).alias("part"))
+    return _tag("servidor", chunk.facets(each, "servidor_id", scope=F.col("part.scope"), title=F.col("part.title"), text=F.col("part.text"),
+                                         url=F.col("url"), metadata=F.col("part.meta")))
 
 
 def projects(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import operations, parsed, reached, recorded, relational, retrieval, stored, textual, viewed  # noqa: F401
+from . import faceted, operations, parsed, reached, recorded, relational, retrieval, stored, textual, viewed  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

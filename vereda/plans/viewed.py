@@ -61,12 +61,12 @@ ENTITIES = {
 class _Lazy(dict):
     """Derived tables, built when a view asks for them."""
 
-    def __init__(self, t):
+    def __init__(self, t, entities: dict[str, tuple[str, str]] = ENTITIES):
         super().__init__()
-        self.t = t
+        self.t, self.entities = t, entities
 
     def __missing__(self, name: str) -> DataFrame:
-        table, columns = ENTITIES[name]
+        table, columns = self.entities[name]
         distinct, columns = columns.startswith("DISTINCT "), columns.removeprefix("DISTINCT ")
         view = getattr(self.t, table).selectExpr(*_listed(columns))
         self[name] = view.distinct() if distinct else view
