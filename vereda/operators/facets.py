@@ -193,7 +193,12 @@ def projects(t: Tables) -> DataFrame:
 
 def classes(t: Tables) -> DataFrame:
     from . import views
-    v = views.vw_turma(t).join(_full(t["disciplina"], "url").select(F.col("codigo").alias("disciplina_codigo"), "url"), "disciplina_codigo", "left")
+    # A class of an unknown subject is named by the subject's code.
+    known = _full(t["disciplina"], "creditos", "carga_horaria", "url").select("codigo", "nome", "creditos", "carga_horaria", "url")
+    code = t["turma"].select(F.col("disciplina_codigo").alias("codigo")).filter("codigo IS NOT NULL").distinct().join(known.select("codigo"), "codigo", "left_anti")
+    subjects_of = known.unionByName(code.withColumn("nome", F.col("codigo")), allowMissingColumns=True)
+    seen = {n: t[n] for n in ("turma", "turma_horario", "turma_curriculo", "turma_professor", "curso")}
+    v = views.vw_turma(seen | {"disciplina": subjects_of}).join(known.select(F.col("codigo").alias("disciplina_codigo"), "url"), "disciplina_codigo", "left")
     meta = _meta("turma", turma_id="turma_id", disciplina_codigo="disciplina_codigo", ano="ano", semestre="semestre", cursos=_list("cursos"), versoes=_list("versoes"))
     title = F.format_string("Turma %s de %s (%s/%s)", "codigo_turma", "disciplina_nome", F.col("ano").cast("string"), F.col("semestre").cast("string"))
     text = T.join_lines(

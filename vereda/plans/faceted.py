@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facets as E
 from ..operators import nearest
-from . import tools, viewed
+from . import retrieval, tools, viewed
 from .registry import query
 
 #: Derived table -> (given table, its columns), beside those of the views.
@@ -135,3 +135,19 @@ def facet_semantic_search(t):
     return tools.semantic_search(corpus, asked).select(
         "query_id", "id", "score", "rank", "source", "key", "scope", "title", meta["tipo"].alias("tipo"), meta["acervo"].alias("acervo"),
         meta["vinculo_ativo"].alias("vinculo_ativo"), F.size(meta).alias("shown"))
+
+
+FOUND_SQL = """(SELECT 'curso' AS entity, codigo_ufpel AS key, nome AS txt, NULL AS url FROM curso UNION ALL SELECT 'disciplina', codigo, nome, url FROM disciplina
+ UNION ALL SELECT 'servidor', servidor_id::VARCHAR, nome, url FROM servidor UNION ALL SELECT 'projeto', projeto_id::VARCHAR, titulo, url FROM projeto)"""
+
+
+@query("tool_find_names", f"""
+WITH {_ctes("curso disciplina servidor projeto")}, cat AS {FOUND_SQL}, q AS {retrieval._tri_sql(retrieval.WORDS_SQL)}, n AS {retrieval._tri_sql(FOUND_SQL)},
+pairs AS (SELECT q.txt AS question, n.txt AS name, {retrieval.SIM_SQL} AS sim FROM q, n
+ WHERE {retrieval.SIM_SQL} > 0.15 OR contains(strip_accents(lower(n.txt)), strip_accents(lower(q.txt)))),
+ranked AS (SELECT question, entity, key, name, url, sim, row_number() OVER (PARTITION BY question ORDER BY sim DESC, entity, name, key) AS rank FROM pairs JOIN cat ON txt = name)
+SELECT * FROM ranked WHERE rank <= 6""")
+def tool_find_names(t):
+    """The institutional entities whose names are like each word of a part's name."""
+    asked = t.part.select(F.explode(F.split("p_name", " ")).alias("text")).distinct()
+    return tools.find_names(_tables(t), asked, "institucional")

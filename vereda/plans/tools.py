@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -135,7 +137,65 @@ def semantic_search(facets: DataFrame, questions: DataFrame, source: str = "", t
     return found.select("query_id", "id", "score", "rank").join(rows, "id")
 
 
-TOOLS = {f.__name__: f for f in (read_pages, run_sql, describe, view_lookup, semantic_search)}
+# --- name tool ----------------------------------------------------------------------
+
+# Table, key, name and address columns of the entities found by name.
+NAMES = {
+    "curso": ("curso", "codigo_ufpel", "nome", "url"), "disciplina": ("disciplina", "codigo", "nome", "url"),
+    "servidor": ("servidor", "servidor_id", "nome", "url"), "projeto": ("projeto", "projeto_id", "titulo", "url"),
+    "ppgc_edital": ("ppgc_edital", "edital_id", "titulo", "url"), "ppgc_normativo": ("ppgc_normativo", "normativo_id", "titulo", "url_pagina"),
+    "ppgc_linha": ("ppgc_linha_pesquisa", "slug", "nome", "url"), "ppgc_disciplina": ("ppgc_disciplina", "disciplina_id", "nome", "url"),
+    "portal_noticia": ("port_post", "post_id", "titulo", "url"), "ppgc_noticia": ("ppgc_post", "post_id", "titulo", "url"),
+    "portal_pagina": ("port_pagina", "pagina_id", "titulo", "url"), "ppgc_pagina": ("ppgc_pagina", "pagina_id", "titulo", "url"),
+    "grupo_pesquisa": ("port_grupo_pesquisa", "grupo_id", "nome", "url")}
+NAME_SIMILARITY = 0.15
+
+
+def resolve_entities(name: str) -> list[str]:
+    """Entities named by a corpus, an entity, or '' for all; none if it is unknown."""
+    e = (name or "").strip().lower()
+    if e in NAMES:
+        return [e]
+    portal = [n for n in NAMES if n.startswith("portal_") or n == "grupo_pesquisa"]
+    programme = [n for n in NAMES if n.startswith("ppgc_")]
+    return {"": list(NAMES), "todas": list(NAMES), "portal": portal, "ppgc": programme,
+            "institucional": [n for n in NAMES if n not in portal + programme]}.get(e, [])
+
+
+def name_catalog(tables, entities: list[str]) -> DataFrame:
+    """(entity, key, text, url) of the named entities whose tables exist; rows without a name are left out."""
+    parts = []
+    for entity in entities:
+        table, key, name, url = NAMES[entity]
+        try:
+            df = tables[table]
+        except KeyError:
+            continue
+        address = F.col(url) if url in df.columns else F.lit(None).cast("string")
+        parts.append(df.select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("key"), F.col(name).alias("text"), address.alias("url")))
+    return reduce(DataFrame.unionByName, parts).filter("text IS NOT NULL")
+
+
+def find_names(tables, questions: DataFrame, entity: str = "", top_k: int = 6) -> DataFrame:
+    """Entities of similar name, or a name that holds the question: question, entity, key, name, url, sim, rank.
+
+    questions: distinct `text`. Names are compared once each; rows that share one are dealt its rank by key, and no more than
+    top_k of them can be among the best. An unknown entity gives an error.
+    """
+    from ..operators import setjoin
+    k, chosen = max(1, min(int(top_k), 12)), resolve_entities(entity)
+    if not chosen:
+        raise ValueError(f"unknown entity {entity!r}")
+    catalog = name_catalog(tables, chosen)
+    found = setjoin.entity_lookup(questions, catalog.select("text", "entity").distinct(), NAME_SIMILARITY, k).drop("rank")
+    few = catalog.withColumn("n", F.row_number().over(Window.partitionBy("entity", "text").orderBy("key"))).filter(F.col("n") <= k).drop("n")
+    rows = found.join(few.withColumnRenamed("text", "name"), ["entity", "name"])
+    best = Window.partitionBy("question").orderBy(F.col("sim").desc(), "entity", "name", "key")
+    return (rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            .select("question", "entity", "key", "name", "url", "sim", "rank"))
+
+
+TOOLS = {f.__name__: f for f in (read_pages, run_sql, describe, view_lookup, semantic_search, find_names)}
 
 
 def tool_schema(fn) -> dict:

@@ -54,6 +54,20 @@ ENTITIES = {
     "ppgc_normativo": ("part", "p_partkey AS normativo_id, p_brand AS tipo, p_size AS numero, 2020 AS ano, p_name AS titulo, p_type AS ementa, "
                        "CASE WHEN p_partkey % 3 = 0 THEN concat('/pg/', p_partkey) END AS url_pagina, concat('/pdf/', p_partkey) AS url_pdf, "
                        "CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 2 = 0 END AS vigente, CASE WHEN p_partkey % 5 = 0 THEN p_name END AS texto"),
+    "turma": ("orders", "o_orderkey AS turma_id, year(o_orderdate) AS ano, 1 AS semestre, o_orderstatus AS codigo_turma, 40 AS vagas, o_custkey % 40 AS matriculados, "
+              "CAST(o_custkey AS VARCHAR(20)) AS disciplina_codigo"),
+    "turma_professor": ("lineitem", "l_orderkey AS turma_id, CASE WHEN l_linenumber < 7 THEN l_suppkey END AS servidor_id, concat('P', l_suppkey) AS nome"),
+    "turma_horario": ("lineitem", "DISTINCT l_orderkey AS turma_id, l_linenumber AS ordem, CASE WHEN l_linenumber % 2 = 0 THEN 'SEG' ELSE 'QUA' END AS dia_semana, "
+                      "'08:00:00' AS hora_inicio, '09:40:00' AS hora_fim"),
+    "turma_curriculo": ("lineitem", "l_orderkey AS turma_id, CAST(l_suppkey % 30 AS VARCHAR(20)) AS curso_codigo, CAST(l_linenumber % 3 AS VARCHAR(20)) AS versao, "
+                        "concat(l_linenumber % 2, 'o') AS semestre_rotulo, l_linenumber AS semestre_num"),
+    "port_documento": ("part", "concat('/doc/', p_partkey) AS url, p_name AS titulo, 'pdf' AS extensao, 'application/pdf' AS mime, DATE '2026-01-02' AS data_upload, "
+                       "p_type AS origem_tipo, p_brand AS origem_titulo, concat('/g/', p_size) AS origem_url"),
+    "ppgc_calendario_evento": ("orders", "CAST(o_orderkey AS VARCHAR(20)) AS uid, concat('Evento ', o_orderkey) AS titulo, o_orderpriority AS descricao, CAST(o_orderdate AS DATE) AS data_inicio, "
+                               "CAST(NULL AS DATE) AS data_fim, '08:00' AS hora_inicio, o_custkey % 2 = 0 AS dia_inteiro, year(o_orderdate) AS ano, month(o_orderdate) AS mes, 1 AS semestre, "
+                               "'d' AS data_por_extenso, 'u' AS url_calendario, CASE WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN o_orderstatus = 'O' THEN 'confirmed' END AS situacao"),
+    "ppgc_requisito": ("part", "p_brand AS nivel, p_size % 2 = 0 AS obrigatorio, p_name AS requisito, CASE WHEN p_size > 9 THEN p_type END AS prazo, concat('/r/', p_partkey) AS url"),
+    "ppgc_documento_chunk": ("part", "concat('/doc/', p_partkey) AS documento_url, p_size AS ordem, p_type AS texto"),
     "ppgc_docente": ("supplier", "s_suppkey AS docente_id, concat('D', s_suppkey) AS nome, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS servidor_id"),
 }
 
@@ -145,3 +159,24 @@ FROM ppgc_normativo WHERE coalesce(vigente, false)""")
 view("docente_servidor", "ppgc_docente servidor", """
 SELECT docente_id, d.nome, servidor_id, s.nome AS servidor_nome FROM ppgc_docente d JOIN servidor s USING (servidor_id)""",
      "docente_id, nome, servidor_id, servidor_nome")
+
+CLASSES_SQL = """h AS (SELECT turma_id, string_agg(dia_semana || ' ' || left(hora_inicio, 5) || '-' || left(hora_fim, 5), ', ' ORDER BY ordem) AS horarios FROM turma_horario GROUP BY 1),
+p AS (SELECT turma_id, list_sort(list(DISTINCT nome)) AS professores, list_sort(list(DISTINCT servidor_id) FILTER (servidor_id IS NOT NULL)) AS ids FROM turma_professor GROUP BY 1),
+b AS (SELECT t.*, d.nome AS disciplina_nome, d.creditos, d.carga_horaria, horarios, coalesce(professores, []) AS professores, coalesce(ids, []) AS professores_ids
+ FROM turma t JOIN disciplina d ON d.codigo = t.disciplina_codigo LEFT JOIN h USING (turma_id) LEFT JOIN p USING (turma_id))"""
+view("vw_turma_completa", "turma disciplina turma_horario turma_professor turma_curriculo curso", f"""
+, {CLASSES_SQL} SELECT b.turma_id, ano, semestre, codigo_turma, vagas, matriculados, disciplina_codigo, disciplina_nome, x.curso_codigo, c.nome AS curso_nome, versao, semestre_rotulo, semestre_num,
+ professores, professores_ids, horarios FROM b LEFT JOIN (SELECT DISTINCT * FROM turma_curriculo) x ON x.turma_id = b.turma_id LEFT JOIN curso c ON c.codigo_ufpel = x.curso_codigo""")
+view("vw_turma", "turma disciplina turma_horario turma_professor turma_curriculo curso", f"""
+, {CLASSES_SQL}, x AS (SELECT turma_id, list_sort(list(DISTINCT nome) FILTER (nome IS NOT NULL)) AS cursos, list_sort(list(DISTINCT curso_codigo)) AS cursos_codigos, list_sort(list(DISTINCT versao)) AS versoes,
+ list_sort(list(DISTINCT semestre_rotulo)) AS semestres_rotulo, min(semestre_num) AS semestre_num FROM turma_curriculo LEFT JOIN curso ON codigo_ufpel = curso_codigo GROUP BY 1)
+SELECT turma_id, ano, semestre, codigo_turma, vagas, matriculados, disciplina_codigo, disciplina_nome, creditos, carga_horaria, coalesce(cursos, []) AS cursos, coalesce(cursos_codigos, []) AS cursos_codigos,
+ coalesce(versoes, []) AS versoes, coalesce(semestres_rotulo, []) AS semestres_rotulo, semestre_num, professores, professores_ids, horarios FROM b LEFT JOIN x USING (turma_id)""")
+view("vw_port_documento", "port_documento", "SELECT * FROM port_documento")
+view("vw_ppgc_agenda", "ppgc_calendario_evento", "SELECT * EXCLUDE (situacao) FROM ppgc_calendario_evento WHERE situacao IS DISTINCT FROM 'cancelled'")
+view("vw_ppgc_requisito", "ppgc_requisito", "SELECT * FROM ppgc_requisito")
+view("pdf_chunk_context", "ppgc_documento_chunk ppgc_documento ppgc_edital_documento ppgc_edital", """
+, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordem, edital_id) AS r FROM ppgc_edital_documento) WHERE r = 1)
+SELECT c.documento_url AS url, c.ordem, c.texto, d.titulo AS documento_titulo, f.tipo_documento, e.titulo AS edital_titulo, f.edital_id
+FROM ppgc_documento_chunk c JOIN ppgc_documento d ON d.url = c.documento_url LEFT JOIN f ON f.url = d.url LEFT JOIN ppgc_edital e ON e.edital_id = f.edital_id""",
+     "url, ordem, texto, documento_titulo, tipo_documento, edital_titulo, edital_id")
