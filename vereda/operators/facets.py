@@ -253,9 +253,10 @@ def faq(t: Tables, table: str = "port_faq", source: str = "portal_faq") -> DataF
 
 def notices(t: Tables) -> DataFrame:
     line = F.concat(F.lit("  - "), F.coalesce(_named("tipo_documento", DOCUMENT_NAMES), F.lit("Documento")), F.lit(": "), F.coalesce("titulo", "url"))
-    docs = _joined(t["ppgc_edital_documento"], "edital_id", line, [F.coalesce("ordem", F.lit(0))], "anexos", "\n")
+    files = _full(t["ppgc_edital_documento"], "tipo_documento", "titulo", "url", "ordem")
+    docs = _joined(files, "edital_id", line, [F.coalesce(F.col("ordem").cast("int"), F.lit(0))], "anexos", "\n")
     listed = t["ppgc_edital_documento"].groupBy("edital_id").agg(F.count(F.lit(1)).alias("n_documentos"))
-    e = _full(t["ppgc_edital"], "nivel", "ano", "semestre", "periodo_letivo", "numero_oficial", "data_publicacao", "resumo", "texto", "url")
+    e = _full(t["ppgc_edital"], "tipo", "nivel", "ano", "semestre", "periodo_letivo", "numero_oficial", "data_publicacao", "resumo", "texto", "url")
     e = e.join(docs, "edital_id", "left").join(listed, "edital_id", "left")
     meta = _meta("edital", "ppgc", edital_tipo="tipo", nivel="nivel", ano="ano", semestre="semestre", numero_oficial="numero_oficial",
                  n_documentos=F.coalesce("n_documentos", F.lit(0)))
