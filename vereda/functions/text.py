@@ -111,9 +111,17 @@ def unescape(c) -> Column:
     return let(_col(c), whole)
 
 
+# What `tidy` changes holds one of these; all other text it returns as it is.
+UNTIDY = "(?U)[&\t\n\u00a0\u200b\ue000\u0001]|  | [,.;:!?%)\\]]|[(\\[] |^\\s|\\s$"
+
+
 def tidy(c) -> Column:
     """Decode references, collapse blanks, glue punctuation back; NULL gives ''."""
-    t = unescape(F.coalesce(_col(c), F.lit("")))
+    return let(F.coalesce(_col(c), F.lit("")), lambda t: F.when(t.rlike(UNTIDY), _tidied(t)).otherwise(t))
+
+
+def _tidied(t: Column) -> Column:
+    t = unescape(t)
     t = F.translate(t, "\u00a0\u200b\ue000", " \u0001\n")
     t = F.replace(t, F.lit("\u0001"), F.lit(""))
     t = F.regexp_replace(t, r"[ \t]+", " ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import extract as X
 from ..sources import elements, ical
 from .registry import query
@@ -14,9 +15,9 @@ MONTH_SQL = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
 
 
 def _pages(df: DataFrame, key: str, *parts: Column | str) -> DataFrame:
-    """(page_id, html): one page per row, the parts put together."""
+    """(page_id, html): one page per row, the parts put together. Parsing a page is heavy, so the rows are dealt out first."""
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return df.select(F.col(key).alias("page_id"), html.alias("html"))
+    return session.deal(df, key).select(F.col(key).alias("page_id"), html.alias("html"))
 
 
 def _month(day: Column) -> Column:

@@ -33,7 +33,7 @@ def parse_legacy_subject(t):
                *_card("CRÉDITOS:", F.col("p_size")), "</div><div id='informacoes'><h3 class='cor-fundo'>Ementa</h3><div><p>", F.col("p_type"), "</p></div><h3 class='cor-fundo'>Avaliação</h3><div><p>",
                F.col("p_brand"), "</p></div></div><table><tr><td>outra</td><td>b</td><td>c</td><td>d</td></tr></table><h3>Turmas Ofertadas</h3><table><tr><th>Turma</th><th>Período</th>"
                "<th>Vagas</th><th>Mat.</th><th>Curso</th><th>Professores</th></tr>", *row, "<tr><td>curta</td></tr>", *row, "</table>")
-    made = records.subjects(elements.elements(p), t.part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("course")))
+    made = records.subjects(elements.elements(p, keep=True), t.part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("course")))
     at = lambda path, name, kind="string": F.variant_get("record", path, kind).alias(name)
     return made.select(
         "page_id", "titulo", at("$.codigo", "codigo"), at("$.creditos", "creditos"), at("$.ementa", "ementa"), at('$.outras_secoes["Avaliação"]', "extra"),
@@ -56,7 +56,7 @@ def parse_legacy_course(t):
                "<td class='h-card'><a class='u-url' href='/servidores/id/1'><span class='p-name'>", F.col("c_name"), "</span></a><span class='p-org'>", F.col("c_mktsegment"),
                "</span></td></tr></table></div><div id='turmas'><table class='tabela-dados'><tr><th>D</th><th>T</th><th>V</th><th>M</th></tr><tr><td>", *link,
                "<span class='tabela-detalhe-info'>Professor Regente: ", F.col("c_name"), "</span></td><td>M1</td><td>", F.col("c_nationkey"), "</td><td>9</td></tr></table></div>")
-    made = records.courses(elements.elements(p))
+    made = records.courses(elements.elements(p, keep=True))
     at = lambda path, name: F.variant_get("record", path, "string").alias(name)
     return made.select("page_id", "titulo", at("$.nivel", "nivel"), at('$.informacoes["Apresentação"]', "apresentacao"), at("$.matriz_curricular[0].semestre", "semestre"),
                        at("$.matriz_curricular[0].Disciplina", "disciplina"), at("$.matriz_curricular[0].url", "url"), at("$.professores[0].nome", "pessoa"),

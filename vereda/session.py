@@ -70,6 +70,21 @@ def spread(df, spark: SparkSession | None = None):
     return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
+# Bytes of input that one task gets when each of its rows is heavy work.
+DEAL_BYTES = 4 << 20
+
+
+def deal(df, key: str, spark: SparkSession | None = None):
+    """Deal rows that each become heavy work out by a unique key, in parts of bounded size, at least one for each core.
+
+    A file is read by as many tasks as it has row groups; narrow rows cost little to move, their work does not wait for
+    one task, and a task's share stays the same as the input grows.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = (spark or df.sparkSession).sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-size // DEAL_BYTES)), key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a temporary one only in a single-process session that names none."""
     sc = spark.sparkContext
