@@ -179,3 +179,13 @@ def test_rows_without_vector_are_no_candidates(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
     asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None)], "query_id long, embedding array<double>")
     assert [(r["query_id"], r["id"]) for r in nearest.search(corpus, asked, 5).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+
+
+def test_similarity_joins_broadcast_no_texts(spark, tmp_path):
+    """By their file's size the texts look small enough; their exploded trigrams are not."""
+    from vereda.operators import respcache
+    spark.range(50).selectExpr("id", "concat('qual o prazo da disciplina ', id) AS question", "id AS sec", "id AS created").write.parquet(f"{tmp_path}/q")
+    q = spark.read.parquet(f"{tmp_path}/q")
+    found = respcache.lookup_fuzzy(q.select("id", "question", "sec"), q.select("question", "created"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 50

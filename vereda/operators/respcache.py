@@ -91,7 +91,7 @@ def lookup_fuzzy(requests: DataFrame, entries: DataFrame, threshold: float = FUZ
     req = requests.select(F.col("question").alias("left_id"), "id", "sec", F.explode(F.array(slice_of("sec"), slice_of("sec") - 1)).alias("block"))
     ent = entries.select(F.col("question").alias("right_id"), "created", slice_of("created").alias("block"))
     age = F.col("sec") - F.col("created")
-    return (pairs.join(ent, ["right_id", "block"]).join(req, ["left_id", "block"]).filter((age >= 0) & (age <= ttl))
+    return (pairs.join(setjoin.shuffled(ent), ["right_id", "block"]).join(setjoin.shuffled(req), ["left_id", "block"]).filter((age >= 0) & (age <= ttl))
             .groupBy("id").agg(F.min(F.struct("created", "right_id", "sim")).alias("m"))
             .select("id", F.col("m.created").alias("created"), F.col("m.right_id").alias("entry"),
                     F.col("m.sim").alias("sim")))

@@ -25,6 +25,11 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(1e-9)).cast("int")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: the optimizer takes exploded tokens for as small as the file they come from."""
+    return df.hint("merge")
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict: bool = False,
                  digits: int = 6, blocked: bool = False, once: bool = False) -> DataFrame:
     """(left_id, right_id, sim) for pairs at or above (`strict`: above) the threshold.
@@ -45,7 +50,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
 
     def encode(rows: DataFrame) -> DataFrame:
         """Fingerprints sorted from rare to common. Read twice, so stored once."""
-        s = (rows.join(freq, "token").groupBy(*keys)
+        s = (rows.join(shuffled(freq), "token").groupBy(*keys)
              .agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("token").alias("c")))).alias("s")))
         return session.checkpoint(s.select(*keys, F.transform("s", lambda x: x["c"]).alias("codes"), F.size("s").alias("size")))
 
@@ -59,7 +64,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
 
     on = ["code", "block"] if blocked else ["code"]
     small, large = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
-    met = prefix(le, "left").join(prefix(re, "right"), on)
+    met = prefix(le, "left").join(shuffled(prefix(re, "right")), on)
     if once:
         met = met.filter(F.col("left_id") < F.col("right_id"))
     met = met.filter(small >= _ceil(F.lit(threshold) * large))
@@ -74,7 +79,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, *, strict:
         return one.select(F.col("id").alias(f"{side}_id"), F.col("codes").alias(f"{side}_set"))
 
     inter = F.size(F.array_intersect("left_set", "right_set"))
-    checked = (pairs.join(full(le, "left"), "left_id").join(full(re, "right"), "right_id")
+    checked = (pairs.join(shuffled(full(le, "left")), "left_id").join(shuffled(full(re, "right")), "right_id")
                .select("left_id", "right_id", *on[1:], inter.alias("i"), (F.size("left_set") + F.size("right_set")).alias("n"))
                .withColumn("raw", F.col("i") / (F.col("n") - F.col("i"))))
     keep = F.col("raw") > threshold if strict else F.col("raw") >= threshold

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import embed, rules as R, text as T
 from ..operators import evaluate, lexical, nearest, reliability, respcache
 from . import context
@@ -123,8 +124,9 @@ hit AS (SELECT id, created, entry, round(sim, 6) AS sim, row_number() OVER (PART
 
 @query("cache_fuzzy", f"WITH {FUZZY_SQL} SELECT id, created, sha256(entry) AS entry, sim FROM hit WHERE k = 1")
 def cache_fuzzy(t):
-    asked = t.conversations.filter(F.col("role") == "user").select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") * 30 + F.col("turn")).alias("sec"), "text")
+    # Stored, or filters on the trigrams would move below the deal, into the few tasks that read the file.
+    asked = session.checkpoint(session.deal(t.conversations, "conv_id").filter(F.col("role") == "user").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") * 30 + F.col("turn")).alias("sec"), "text"))
     entries = (asked.select(T.question_key("text").alias("question"), "sec").groupBy("question")
                .agg(F.min("sec").alias("created")))
     requests = asked.select("id", (F.col("sec") + 60).alias("sec"),
