@@ -44,3 +44,12 @@ def test_tidy_skips_only_what_it_would_not_change(spark):
     rows = spark.createDataFrame([(x,) for x in odd] + [(None,)], "t string").select(
         "t", T.tidy("t").alias("got"), T._tidied(F.coalesce("t", F.lit(""))).alias("want")).collect()
     assert [r for r in rows if r["got"] != r["want"]] == []
+
+
+def test_pieces_of_a_batch_are_packed_as_they_come(monkeypatch):
+    from vereda.operators import chunk as C
+    texts = [None, "", "a b " * 400, "uma frase. " * 90, None]
+    monkeypatch.setattr(C, "HELD_CHARS", 1000)
+    want = [None if t is None else C.split_recursive(t, 200, 20) for t in texts]
+    assert C._split_all(pa.array(texts), 200, 20).to_pylist() == want
+    assert C._split_all(pa.array([], pa.string()), 200, 20).to_pylist() == []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,10 +140,27 @@ def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
     return [p for p in (x.strip() for x in out) if p]
 
 
+# Characters of pieces that stay Python strings before they become an Arrow array; it bounds memory, not results.
+HELD_CHARS = 1 << 22
+
+
+def _split_all(texts: pa.Array, size: int, overlap: int) -> pa.Array:
+    """The pieces of each text, one text at a time."""
+    done, lists, held = [], [], 0
+    for t in texts:
+        t = t.as_py()
+        lists.append(None if t is None else split_recursive(t, size, overlap))
+        held += len(t or "")
+        if held >= HELD_CHARS:
+            done.append(pa.array(lists, pa.list_(pa.string())))
+            lists, held = [], 0
+    return pa.concat_arrays([*done, pa.array(lists, pa.list_(pa.string()))])
+
+
 def recursive(c, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_recursive(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _split_all(texts, size, overlap)
 
     return run(T._col(c))
 
