@@ -78,6 +78,25 @@ def test_frontier_with_cycles_repeats_and_missing_pages(spark):
     assert {r.url: r.depth for r in two} == {u: d for u, d in want.items() if d <= 1}
 
 
+def test_frontier_keeps_only_links_that_it_can_follow(spark, tmp_path, monkeypatch):
+    """Links of pages that are no seed and that nothing leads to are read once, not in every round."""
+    monkeypatch.setattr(frontier.session, "run_folder", lambda *_: str(tmp_path))
+    rows = [("http://h/a", "<a href='/b'>x</a>"), ("http://h/b", "<a href='/c'>x</a>")] + [(f"http://h/n{i}", "<a href='/b'>x</a>") for i in range(50)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = frontier.reached(pages, spark.createDataFrame([("http://h/a",)], "url string")).collect()
+    assert sorted(tuple(r) for r in got) == [("http://h/a", 0, True), ("http://h/b", 1, True), ("http://h/c", 2, False)]
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 52
+    kept = spark.read.schema("source string, target string, linked boolean, seed boolean").parquet(str(tmp_path / "followed")).collect()
+    assert sorted((r.source, r.seed, r.linked) for r in kept) == [("http://h/a", True, False), ("http://h/b", False, True)]
+
+
+def test_a_link_is_resolved_once(spark):
+    """Neither filters on the addresses nor the cases of a link repeat the expressions that make them."""
+    pages = spark.createDataFrame([("http://h/a", "<a href='/b'>x</a>")], "url string, html string")
+    plan = frontier.edges(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1
+
+
 def test_frontier_of_empty_tables_and_rules(spark):
     pages = spark.createDataFrame([("http://h/cursos/cod/1", "<a href='/servidores/id/2'>x</a><a href='/outra'>y</a>")], "url string, html string")
     seeds = spark.createDataFrame([("http://h/cursos/cod/1",)], "url string")

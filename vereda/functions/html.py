@@ -80,16 +80,22 @@ def without_fragment(u: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """Resolve a link against the address of its page."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = F.when(href.startswith("/"), F.concat(origin, href)).otherwise(
-        F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), href))
-    out = (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-           .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-           .when(href.startswith("?"), F.concat(origin, path(base), href))
-           .when(href == "", without_fragment(base))
-           .otherwise(joined))
-    return T.let(out, lambda u: F.when(path(u).rlike(r"/\.\.?(/|$)"), _without_dots(u)).otherwise(u))
+    def resolved(href: Column) -> Column:
+        origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        folder = F.regexp_replace(path(base), r"[^/]*$", "")
+        joined = F.when(href.startswith("/"), F.concat(origin, href)).otherwise(
+            F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+                .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+                .when(href.startswith("?"), F.concat(origin, path(base), href))
+                .when(href == "", without_fragment(base))
+                .otherwise(joined))
+
+    def folded(u: Column) -> Column:
+        return F.when(F.contains(u, F.lit("/.")) & path(u).rlike(r"/\.\.?(/|$)"), _without_dots(u)).otherwise(u)
+
+    # The link is often a longer expression, which the cases would repeat.
+    return T.let(T.let(href, resolved), folded)
 
 
 def _without_dots(u: Column) -> Column:
@@ -130,16 +136,26 @@ def allowed_host(u: Column, domains: tuple[str, ...]) -> Column:
     return ok
 
 
+def _usable(href: Column) -> Column:
+    return (href != "") & ~href.startswith("#") & ~href.startswith("javascript:")
+
+
+def hrefs(html_col) -> Column:
+    """array<string> of the distinct addresses of the usable links, as written."""
+    found = F.transform(F.regexp_extract_all(T._col(html_col), F.lit(LINK), F.lit(1)), lambda h: F.trim(h))
+    return F.array_distinct(F.filter(found, _usable))
+
+
 def links(html_col, base) -> Column:
     """array<struct<url, text>> of the usable links, in order, first of each pair.
 
     Distinct (url, text) pairs are kept in order; their position is `ordem`.
     """
     html_col, base = T._col(html_col), T._col(base)
-    hrefs = F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1))
+    written = F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1))
     bodies = F.regexp_extract_all(html_col, F.lit(LINK), F.lit(2))
-    pairs = F.zip_with(hrefs, bodies, lambda h, b: F.struct(F.trim(h).alias("h"), b.alias("b")))
-    usable = F.filter(pairs, lambda p: (p["h"] != "") & ~p["h"].startswith("#") & ~p["h"].startswith("javascript:"))
+    pairs = F.zip_with(written, bodies, lambda h, b: F.struct(F.trim(h).alias("h"), b.alias("b")))
+    usable = F.filter(pairs, lambda p: _usable(p["h"]))
     return F.array_distinct(F.transform(usable, lambda p: F.struct(
         absolute(T.unescape(p["h"]), base).alias("url"), F.nullif(inline_text(p["b"]), F.lit("")).alias("text"))))
 
