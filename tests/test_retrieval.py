@@ -189,3 +189,20 @@ def test_similarity_joins_broadcast_no_texts(spark, tmp_path):
     found = respcache.lookup_fuzzy(q.select("id", "question", "sec"), q.select("question", "created"))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert found.count() == 50
+
+
+def test_scoring_holds_bounded_pieces(monkeypatch):
+    texts = ["a b", "x" * 50, "", "c", "d e f", "g"]
+    monkeypatch.setattr(embed, "HELD_CHARS", 6)
+    monkeypatch.setattr(embed, "HELD_ROWS", 2)
+    assert list(embed.spans(texts)) == [(0, 1), (1, 2), (2, 4), (4, 6)]
+    assert list(embed.spans([])) == []
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [[rng.choice(words) for _ in range(rng.randrange(30))] for _ in range(60)] + [["unseen"], []]
+    block = lexical.term_matrix([[{"term": w, "w": rng.random()} for w in rng.sample(words, 9)] for _ in range(25)] + [None])
+    stats = lexical.Stats(62, 14.0, 0.1)
+    whole = lexical.score_tokens(docs, block, stats)
+    for held in (1, 7, 300):
+        monkeypatch.setattr(lexical, "HELD_PRODUCTS", held)
+        assert np.array_equal(lexical.score_tokens(docs, block, stats), whole)

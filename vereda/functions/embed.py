@@ -19,12 +19,26 @@ from . import text as T
 
 DIMS = 64
 BATCH = 100
+# Rows, and characters or components of their values, that a task works on at a time; they bound memory, not results.
+HELD_ROWS, HELD_CHARS = 2048, 1 << 21
 
 
 class Embedder(Protocol):
     def embed_documents(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def spans(values) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive pieces of at most HELD_ROWS values and, unless one alone is longer, HELD_CHARS in all."""
+    start = held = 0
+    for i, x in enumerate(values):
+        if i > start and (i - start >= HELD_ROWS or held + len(x) > HELD_CHARS):
+            yield start, i
+            start, held = i, 0
+        held += len(x)
+    if len(values) > start:
+        yield start, len(values)
+
+
 class _Slots(dict):
     """The hashed slot of each token seen, up to a number."""
 
@@ -55,7 +69,9 @@ def embed(df: DataFrame, text: str, dims: int = DIMS, key: str = "id") -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "embedding": list(vectors([x.split(" ") if x else [] for x in pdf["toks"]], dims))})
+            for start, stop in spans(pdf["toks"]):
+                part = pdf.iloc[start:stop]
+                yield pd.DataFrame({key: part[key], "embedding": list(vectors([x.split(" ") if x else [] for x in part["toks"]], dims))})
 
     return src.mapInPandas(run, schema)
 

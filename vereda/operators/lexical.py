@@ -21,6 +21,8 @@ from . import nearest
 # Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+# Products of a document's term and a question's that a task holds at a time; common words meet every question.
+HELD_PRODUCTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,7 @@ def score_tokens(token_lists, block, stats: Stats) -> np.ndarray:
     vocab, starts, cols, vals, n_questions = block
     sizes = np.array([len(x) for x in token_lists], dtype=np.int64)
     known = vocab.get
-    flat = np.array([known(t, -1) for toks in token_lists for t in toks], dtype=np.int64)
+    flat = np.fromiter((known(t, -1) for toks in token_lists for t in toks), np.int64, sizes.sum())
     row = np.repeat(np.arange(len(sizes)), sizes)[flat >= 0]
     if not len(row):
         return np.zeros((len(sizes), n_questions))
@@ -101,11 +103,20 @@ def score_tokens(token_lists, block, stats: Stats) -> np.ndarray:
     row, term = pairs // len(vocab), pairs % len(vocab)
     norm = K1 * (1 - B + B * sizes / stats.avg_len) if stats.avg_len else np.full(len(sizes), K1)
     gain = f * (K1 + 1) / (f + norm[row])
-    # Each (document, term) meets the questions of its term.
+    # Each (document, term) meets the questions of its term, for as many documents at a time as the bound lets.
     many = starts[term + 1] - starts[term]
-    at = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    cell = np.repeat(row, many) * n_questions + cols[at]
-    return np.bincount(cell, np.repeat(gain, many) * vals[at], len(sizes) * n_questions).reshape(len(sizes), n_questions)
+    first = np.searchsorted(row, np.arange(len(sizes) + 1))
+    before = np.concatenate([[0], np.cumsum(many)])[first]
+    out, start = np.empty((len(sizes), n_questions)), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + HELD_PRODUCTS, "right")) - 1)
+        part = slice(first[start], first[stop])
+        m = many[part]
+        at = np.repeat(starts[term[part]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        cell = np.repeat(row[part] - start, m) * n_questions + cols[at]
+        out[start:stop] = np.bincount(cell, np.repeat(gain[part], m) * vals[at], (stop - start) * n_questions).reshape(-1, n_questions)
+        start = stop
+    return out
 
 
 def weigh(questions: DataFrame, df: DataFrame, stats: Stats, text: str, tokenizer) -> DataFrame:

@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import embed
+
 METRICS = ("cosine", "l2", "l1", "ip")
 # Questions of a block, which is shipped to every task.
 BROADCAST_QUESTIONS = 2048
-# Corpus rows scored at a time: bounds the rows x questions matrix of a task.
-SCORED_ROWS = 2048
 DIGITS = 4
 
 
@@ -127,8 +127,8 @@ def run_scored(corpus: DataFrame, payload: str, questions: DataFrame, prepare, s
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = _Running(k, grouped, ascending, digits)
             for pdf in batches:
-                for at in range(0, len(pdf) if qids else 0, SCORED_ROWS):
-                    part = pdf.iloc[at:at + SCORED_ROWS]
+                for start, stop in embed.spans(pdf["payload"]) if qids else ():
+                    part = pdf.iloc[start:stop]
                     out = best.add(qids, part["id"].to_numpy(), part["grp"].to_numpy() if grouped else None,
                                    score(part["payload"], prepared))
                     if out is not None:
