@@ -57,3 +57,15 @@ def test_find_names(spark):
     with pytest.raises(ValueError):
         tools.find_names(t, asked, "outra")
     assert tools.resolve_entities("institucional") == ["curso", "disciplina", "servidor", "projeto"] and len(tools.resolve_entities("todas")) == 13
+
+
+def test_notices_read_their_files_once_and_cut_each_text_once(spark):
+    t = {"ppgc_edital": spark.createDataFrame([(1, "Edital um", "texto " * 500), (2, "Edital dois", None)], "edital_id int, titulo string, texto string"),
+         "ppgc_edital_documento": spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, None, 1)], "edital_id int, titulo string, ordem int")}
+    built = facets.build(t, ["ppgc_edital"])
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    # One mark of the text, in the only expression that makes it.
+    assert plan.count("Documentos anexos") == 1 and plan.count("Join") == 1
+    got = {(r["key"], r["chunk"]): r for r in built.collect()}
+    assert "Documentos anexos:\n  - Documento: a\n  - Documento: b" in got["1", 0]["text"] and got["1", 1]["text"].startswith("Edital do ")
+    assert got["1", 0]["metadata"]["n_documentos"] == "2" and "Documentos anexos" not in got["2", 0]["text"] and got["2", 0]["metadata"]["n_documentos"] == "1"

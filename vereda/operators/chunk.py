@@ -285,13 +285,18 @@ def portal_facets(df: DataFrame, key: str, *, scope: Column, title: Column, text
     metadata, a map of texts, is kept on each piece, with its number if there are several.
     """
     carried = [] if metadata is None else [metadata.alias("metadata")]
-    whole = T.strip(F.coalesce(text, F.lit("")))
-    pieces = df.select(F.col(key).alias("key"), scope.alias("scope"), title.alias("title"),
-                       (url if url is not None else F.lit(None).cast("string")).alias("url"), *carried,
-                       F.left(F.split_part(whole, F.lit("\n\n"), F.lit(1)), F.lit(400)).alias("head"),
-                       F.when(F.length(whole) >= min_chars, char_windows(whole)).alias("pieces"))
-    rows = pieces.filter(F.col("pieces").isNotNull()).withColumn("n", F.size("pieces")).select(
-        "key", "scope", "title", "url", "n", "head", *_named(carried), F.posexplode("pieces").alias("pos", "piece"))
+
+    def pieces(whole: Column) -> Column:
+        head = F.left(F.split_part(whole, F.lit("\n\n"), F.lit(1)), F.lit(400))
+        cut = let(char_windows(whole), lambda p: F.transform(p, lambda x, i: F.struct(
+            i.alias("pos"), F.size(p).alias("n"), x.alias("piece"), F.when(i > 0, head).alias("head"))))
+        return F.when(F.length(whole) >= min_chars, cut)
+
+    # The text is made and cut in one expression: filters on its pieces, or an inner explode's own test, would repeat it.
+    rows = df.select(F.col(key).alias("key"), scope.alias("scope"), title.alias("title"),
+                     (url if url is not None else F.lit(None).cast("string")).alias("url"), *carried,
+                     F.explode_outer(let(T.strip(F.coalesce(text, F.lit(""))), pieces)).alias("p"))
+    rows = rows.filter(F.col("p").isNotNull()).select("key", "scope", "title", "url", *_named(carried), "p.*")
     place = F.create_map(F.lit("chunk"), F.col("pos").cast("string"))
     body = F.when(F.col("pos") == 0, F.col("piece")).otherwise(
         F.format_string("%s\n(continuação %d)\n%s", "head", F.col("pos") + 1, "piece"))

@@ -254,10 +254,13 @@ def faq(t: Tables, table: str = "port_faq", source: str = "portal_faq") -> DataF
 def notices(t: Tables) -> DataFrame:
     line = F.concat(F.lit("  - "), F.coalesce(_named("tipo_documento", DOCUMENT_NAMES), F.lit("Documento")), F.lit(": "), F.coalesce("titulo", "url"))
     files = _full(t["ppgc_edital_documento"], "tipo_documento", "titulo", "url", "ordem")
-    docs = _joined(files, "edital_id", line, [F.coalesce(F.col("ordem").cast("int"), F.lit(0))], "anexos", "\n")
-    listed = t["ppgc_edital_documento"].groupBy("edital_id").agg(F.count(F.lit(1)).alias("n_documentos"))
+    # The files are read once, for their number and their lines.
+    row = F.struct(F.coalesce(F.col("ordem").cast("int"), F.lit(0)).alias("o"), line.alias("l"))
+    listed = files.groupBy("edital_id").agg(F.count(F.lit(1)).alias("n_documentos"), F.collect_list(F.when(line.isNotNull(), row)).alias("lines"))
+    lines = F.array_join(F.transform(F.array_sort("lines"), lambda s: s["l"]), "\n")
+    docs = listed.select("edital_id", "n_documentos", F.when(F.size("lines") > 0, lines).alias("anexos"))
     e = _full(t["ppgc_edital"], "tipo", "nivel", "ano", "semestre", "periodo_letivo", "numero_oficial", "data_publicacao", "resumo", "texto", "url")
-    e = e.join(docs, "edital_id", "left").join(listed, "edital_id", "left")
+    e = e.join(docs, "edital_id", "left")
     meta = _meta("edital", "ppgc", edital_tipo="tipo", nivel="nivel", ano="ano", semestre="semestre", numero_oficial="numero_oficial",
                  n_documentos=F.coalesce("n_documentos", F.lit(0)))
     text = T.join_lines(
