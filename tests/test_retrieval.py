@@ -206,3 +206,69 @@ def test_scoring_holds_bounded_pieces(monkeypatch):
     for held in (1, 7, 300):
         monkeypatch.setattr(lexical, "HELD_PRODUCTS", held)
         assert np.array_equal(lexical.score_tokens(docs, block, stats), whole)
+
+
+def test_blocked_join_brute_force(spark, monkeypatch):
+    """In memory, part by part, by prefixes and all at once; rows may come twice, and NULL is in no block."""
+    rnd = random.Random(11)
+
+    def texts(n):
+        rows = [(rnd.choice([-1, 0, 0, 7]), "".join(rnd.choice("ab ç") for _ in range(rnd.choice([0, 1, 2, 5, 9, 14])))) for _ in range(n)]
+        return rows + rows[:5] + [(None, "ab"), (0, None)]
+
+    def grams(s):
+        s = "  " + s + "  "
+        return {s[i:i + 3] for i in range(len(s) - 2)}
+
+    left, right = texts(60), texts(40)
+    frames = [spark.createDataFrame(rows, "block long, text string") for rows in (left, right)]
+    key = {r["text"]: r["id"] for f in frames for r in f.select("text", setjoin.text_id("text").alias("id")).collect()}
+    sets = [f.filter("block IS NOT NULL").distinct().select(F.col("text").alias("id"), "block", T.string_trigrams("text").alias("tokens")) for f in frames]
+    for threshold, held, most in ((.3, 1 << 21, 32), (.5, 150, 32), (.5, 150, 1), (.5, 150, 4), (1.0, 150, 4)):
+        monkeypatch.setattr(setjoin, "HELD_TOKENS", held)
+        monkeypatch.setattr(setjoin, "MOST_PARTS", most)
+        want = {(a, b, k): round(brute_jaccard(grams(a), grams(b)), 6) for k, a in set(left) for j, b in set(right)
+                if k == j and None not in (k, a, b) and brute_jaccard(grams(a), grams(b)) >= threshold}
+        for given, of, ids in ((frames, T.string_trigrams, key), (sets, None, {t: t for t in key})):
+            got = setjoin.jaccard_join(*given, threshold, blocked=True, of=of).collect()
+            assert len(got) == len(want)
+            assert {(r["left_id"], r["right_id"], r["block"]): r["sim"] for r in got} == {(ids[a], ids[b], k): s for (a, b, k), s in want.items()}
+
+
+def test_overlaps_in_pieces(monkeypatch):
+    rnd = random.Random(5)
+
+    def side(n):
+        sets = [rnd.sample(range(-20, 20), rnd.randint(0, 9)) for _ in range(n)]
+        return sets, (np.array([len(s) for s in sets]), np.array([c for s in sets for c in s]))
+
+    (left, le), (right, ri) = side(40), side(25)
+    for threshold, held in itertools.product((.1, .4, .82, 1.0), (1, 9, 1 << 19)):
+        monkeypatch.setattr(setjoin, "HELD_PRODUCTS", held)
+        got = [p for piece in setjoin.overlaps(*le, *ri, threshold) for p in zip(*(x.tolist() for x in piece))]
+        want = {(i, j, len(set(a) & set(b))) for (i, a), (j, b) in itertools.product(enumerate(left), enumerate(right))
+                if a and b and brute_jaccard(set(a), set(b)) >= threshold}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fuzzy_lookup_moves_texts_not_tokens(spark, tmp_path):
+    """Each text goes to its slices once; rows for each of its trigrams filled the disk."""
+    spark.range(50).selectExpr("id", "concat('qual o prazo da disciplina ', id) AS question", "id AS sec", "id AS created").write.parquet(f"{tmp_path}/q")
+    q = spark.read.parquet(f"{tmp_path}/q")
+    found = respcache.lookup_fuzzy(q.select("id", "question", "sec"), q.select("question", "created"))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    generated = [line for line in plan.splitlines() if "Generate" in line]
+    assert generated and not [line for line in generated if "code" in line or "token" in line]
+    # What the trigrams are made of is moved before they are made.
+    made = next(i for i, line in enumerate(plan.splitlines()) if "regexp_extract_all" in line)
+    moved = next(i for i, line in enumerate(plan.splitlines()) if "REPARTITION_BY_COL" in line)
+    assert made < moved
+
+
+def test_fuzzy_lookup_first_of_equal_age(spark):
+    """Of the entries of one second the lesser text serves, whatever its id; copies of an id are one request."""
+    entries = spark.createDataFrame([("prazo da matricula b", 10), ("prazo da matricula a", 10), ("prazo da matricula", 3700)], "question string, created long")
+    requests = spark.createDataFrame([("r", 3605, "prazo da matricula"), ("r", 3605, "prazo da matricula"), ("s", 3611, "prazo da matricula"), ("t", 3700, None)],
+                                     "id string, sec long, question string")
+    got = {r["id"]: (r["created"], r["entry"]) for r in respcache.lookup_fuzzy(requests, entries).collect()}
+    assert got == {"r": (10, "prazo da matricula a")}

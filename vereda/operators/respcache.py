@@ -78,22 +78,20 @@ def lookup_fuzzy(requests: DataFrame, entries: DataFrame, threshold: float = FUZ
     serve requests of its own or the next time slice of length `ttl`, so texts
     are compared inside slices, each distinct text once per slice.
     """
-    def sets(df: DataFrame, slices: Column) -> DataFrame:
-        return (df.select(F.col("question").alias("id"), F.explode(slices).alias("block")).distinct()
-                .select("id", "block", T.string_trigrams("id").alias("tokens")))
-
     def slice_of(c: str) -> Column:
         return F.floor(F.col(c) / ttl)
 
-    pairs = setjoin.jaccard_join(sets(requests, F.array(slice_of("sec"), slice_of("sec") - 1)),
-                                 sets(entries, F.array(slice_of("created"))), threshold, blocked=True)
+    served = F.explode(F.array(slice_of("sec"), slice_of("sec") - 1)).alias("block")
+    pairs = setjoin.jaccard_join(requests.select(served, F.col("question").alias("text")),
+                                 entries.select(slice_of("created").alias("block"), F.col("question").alias("text")),
+                                 threshold, blocked=True, of=T.string_trigrams)
     # Pairs of distinct texts first: copies of a question fan out only here, and only within their slice.
-    req = requests.select(F.col("question").alias("left_id"), "id", "sec", F.explode(F.array(slice_of("sec"), slice_of("sec") - 1)).alias("block"))
-    ent = entries.select(F.col("question").alias("right_id"), "created", slice_of("created").alias("block"))
+    req = requests.select(setjoin.text_id("question").alias("left_id"), "id", "sec", served)
+    ent = entries.select(setjoin.text_id("question").alias("right_id"), "question", "created", slice_of("created").alias("block"))
     age = F.col("sec") - F.col("created")
-    return (pairs.join(setjoin.shuffled(ent), ["right_id", "block"]).join(setjoin.shuffled(req), ["left_id", "block"]).filter((age >= 0) & (age <= ttl))
-            .groupBy("id").agg(F.min(F.struct("created", "right_id", "sim")).alias("m"))
-            .select("id", F.col("m.created").alias("created"), F.col("m.right_id").alias("entry"),
+    return (pairs.join(setjoin.shuffled(req), ["left_id", "block"]).join(setjoin.shuffled(ent), ["right_id", "block"]).filter((age >= 0) & (age <= ttl))
+            .groupBy("id").agg(F.min(F.struct("created", "question", "sim")).alias("m"))
+            .select("id", F.col("m.created").alias("created"), F.col("m.question").alias("entry"),
                     F.col("m.sim").alias("sim")))
 
 

@@ -124,11 +124,12 @@ hit AS (SELECT id, created, entry, round(sim, 6) AS sim, row_number() OVER (PART
 
 @query("cache_fuzzy", f"WITH {FUZZY_SQL} SELECT id, created, sha256(entry) AS entry, sim FROM hit WHERE k = 1")
 def cache_fuzzy(t):
-    # Stored, or filters on the trigrams would move below the deal, into the few tasks that read the file.
+    # Stored, as it is read three times and few tasks read the file.
     asked = session.checkpoint(session.deal(t.conversations, "conv_id").filter(F.col("role") == "user").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("conv_id") * 30 + F.col("turn")).alias("sec"), "text"))
-    entries = (asked.select(T.question_key("text").alias("question"), "sec").groupBy("question")
-               .agg(F.min("sec").alias("created")))
+    # Read three times too.
+    entries = session.checkpoint(asked.select(T.question_key("text").alias("question"), "sec").groupBy("question")
+                                 .agg(F.min("sec").alias("created")))
     requests = asked.select("id", (F.col("sec") + 60).alias("sec"),
                             T.question_key(F.regexp_replace("text", "^[^ ]* *", "")).alias("question"))
     return respcache.lookup_fuzzy(requests, entries).withColumn("entry", F.sha2("entry", 256))
